@@ -25,6 +25,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprint import compare_with_edits
+
+    return compare_with_edits(table(spark, sf_dir, "documents"))
+
+
 def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .topk_search import top_k
 
