@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import SPACE, WORD
 from .prefix import running_totals
 
 #: Weights of the sources in code-point order, repeating.
@@ -46,22 +46,45 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return s.select("rank", "source", "source_size", "weight", target.alias("target"))
 
 
-def mix_to_weights(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS, seed: str = "mix-1") -> DataFrame:
+def mix_to_weights(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS, seed: str = "mix-1", carry: list[str] | None = None) -> DataFrame:
     """For each row of ``documents`` (doc_id, text, source): its size in words, its source's size and
-    target, and the words taken of it.
+    target, and the words taken of it; ``carry`` names columns to keep beside them.
 
     Each source is taken whole as often as its target holds it, then once more in random order up to
     the exact remainder; the document at the cut gives only the words still wanted. The order is that of
     md5(seed:doc_id), so reruns agree on any cluster.
     """
-    sized = documents.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    carry = carry or []
+    sized = documents.select("doc_id", "source", word_count(F.col("text")).alias("size"), *carry)
     goals = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     keyed = sized.join(goals, sized["source"].eqNullSafe(goals["source"])).select(
-        "doc_id", "rank", "size", "source_size", "target", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("key")
+        "doc_id", "rank", "size", "source_size", "target", *[sized[c] for c in carry], F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("key")
     )
     cut = running_totals(keyed, "rank", ["key", "doc_id", "size"], "size", "before")
     budget = F.floor("target")
     epochs = F.when(F.col("source_size") > 0, F.expr("floor(target) div source_size")).otherwise(F.lit(0))
     rest = budget - epochs * F.col("source_size")
     taken = epochs * F.col("size") + F.greatest(F.lit(0).cast("long"), F.least("size", rest - F.col("before")))
-    return cut.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return cut.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), *carry)
+
+
+def mixed(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
+    """The mix itself: each document as often as it is taken whole, and once more up to its last word
+    taken if it is cut. Columns are those of ``documents``; n_chars follows the text.
+
+    Only ids, sizes and a hash of the text go through the prefix sums; texts move once, to meet them.
+    """
+    columns = documents.columns
+    same = ["doc_id", "_source", "_hash"]
+    nth = F.row_number().over(Window.partitionBy(*same).orderBy("_hash"))
+    rows = documents.withColumn("_source", F.col("source")).withColumn("_hash", F.xxhash64("text"))
+    taken = mix_to_weights(rows, weights, most, carry=["_source", "_hash"]).withColumn("_nth", nth).where("taken > 0")
+    rows = rows.withColumn("_nth", nth)
+    t = taken.select(F.col("doc_id").alias("_d"), F.col("_source").alias("_s"), F.col("_hash").alias("_h"), F.col("_nth").alias("_k"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
+    met = rows.join(t, rows["doc_id"].eqNullSafe(t["_d"]) & rows["_source"].eqNullSafe(t["_s"]) & (rows["_hash"] == t["_h"]) & (rows["_nth"] == t["_k"]))
+    met = met.withColumn("_whole", F.expr("_taken div _size")).withColumn("_rest", F.expr("cast(_taken % _size as int)"))
+    each = met.withColumn("_copy", F.explode(F.expr("sequence(1, cast(_whole as int) + if(_rest > 0, 1, 0))")))
+    words = F.regexp_extract_all("text", F.lit(rf"[{SPACE}]*{WORD}"), F.lit(0))
+    cut = F.array_join(F.slice(words, F.lit(1), F.col("_rest")), "")
+    each = each.withColumn("text", F.when(F.col("_copy") > F.col("_whole"), cut).otherwise(F.col("text")))
+    return each.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else c for c in columns])

@@ -14,6 +14,18 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10
 """
 
+OP5 = """
+WITH turns AS MATERIALIZED (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS place, COALESCE(role, '') AS role, COALESCE(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL
+), prefixes AS MATERIALIZED (
+  SELECT conv_id, place, string_agg('<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10), '') OVER (PARTITION BY conv_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS said,
+    md5(string_agg(md5(role) || md5(text), '') OVER (PARTITION BY conv_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS h, MAX(place) OVER (PARTITION BY conv_id) AS n FROM turns
+)
+SELECT MIN(conv_id) AS conv_id, MIN(n) AS n_turns, COUNT(*) AS copies, MIN(said) AS rendered
+FROM prefixes w WHERE place = n AND NOT EXISTS (SELECT 1 FROM prefixes p WHERE p.h = w.h AND p.place < p.n) GROUP BY h
+"""
+
 OP7 = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents
@@ -59,4 +71,4 @@ FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN (SELECT doc_
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_topk_search": OP3, "op7_mixing": OP7, "op10_ngram_join": OP10}
+    return {"op3_topk_search": OP3, "op5_chat": OP5, "op7_mixing": OP7, "op10_ngram_join": OP10}

@@ -28,6 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import Memo, mix, written
 
@@ -199,8 +200,8 @@ def training_rows(documents: DataFrame, labels: DataFrame, label: str, folds: in
     return written(documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id"), "training")
 
 
-def score_quality(documents: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2, most_rows: int = MOST_ROWS) -> DataFrame:
-    """doc_id, held_out, score, predicted for each row of ``documents`` (doc_id, text)."""
+def with_scores(documents: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2, most_rows: int = MOST_ROWS) -> DataFrame:
+    """``documents`` with a column ``score``, the probability of label 1 from the text alone."""
     spark = documents.sparkSession
     training = training_rows(documents, labels, "quality", folds, fold, most_rows)
     context = spark.sparkContext.broadcast(context_vectors(documents))
@@ -215,11 +216,19 @@ def score_quality(documents: DataFrame, labels: DataFrame, folds: int = 4, fold:
     order = np.lexsort(x.T) if len(x) else np.arange(0)  # rows come in any order; training shouldn't depend on it
     network = spark.sparkContext.broadcast(Network(x[order], np.array([r["label"] for r in pooled], np.int64)[order]))
 
+    names = documents.columns
+    at = names.index("text")
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pooling = Pooling(context.value)
         for b in batches:
-            x = np.stack([pooling(t.as_py()) for t in b.column(1)]) if b.num_rows else np.zeros((0, pooling.size), np.float32)
-            yield pa.record_batch([b.column(0), pa.array(network.value(x).astype(np.float64))], names=["doc_id", "score"])
+            x = np.stack([pooling(t.as_py()) for t in b.column(at)]) if b.num_rows else np.zeros((0, pooling.size), np.float32)
+            yield pa.record_batch([*b.columns, pa.array(network.value(x).astype(np.float64))], names=[*names, "score"])
+
+    return documents.mapInArrow(score, StructType([*documents.schema.fields, StructField("score", DoubleType())]))
 
-    scored = documents.select("doc_id", "text").mapInArrow(score, "doc_id long, score double")
+
+def score_quality(documents: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2, most_rows: int = MOST_ROWS) -> DataFrame:
+    """doc_id, held_out, score, predicted for each row of ``documents`` (doc_id, text)."""
+    scored = with_scores(documents.select("doc_id", "text"), labels, folds, fold, most_rows).drop("text")
     return scored.select("doc_id", held_out(F.col("doc_id"), folds, fold).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
