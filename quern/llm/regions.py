@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import written
 
 #: New pivots of a region in one round.
-PIVOTS = 16
+PIVOTS = 256
 #: Slack for floating point in window comparisons; it only adds comparisons.
 EPS = 1e-9
 
@@ -55,9 +55,12 @@ def links_in_regions(pairs: DataFrame, verify: Verify, radius: float) -> DataFra
         region = written(region.join(busy, "region", "left_semi"), "region")
         if region.isEmpty():
             break
-        nth = F.row_number().over(Window.partitionBy("region").orderBy("node"))
-        chosen = written(region.where("open").withColumn("nth", nth).where(F.col("nth") <= PIVOTS).select("region", F.col("node").alias("pivot"), F.col("d").alias("pd")), "chosen")
-        near = region.join(chosen, "region").where((F.col("node") != F.col("pivot")) & (F.abs(F.col("d") - F.col("pd")) <= 2 * radius + EPS))
+        within = Window.partitionBy("region")
+        opened = region.where("open").withColumn("nth", F.row_number().over(within.orderBy("node"))).withColumn("n", F.count("*").over(within))
+        # where open items are left over, a new pivot also measures what only they may reach
+        reach = F.when(F.col("n") > PIVOTS, 2.0 * radius).otherwise(float(radius))
+        chosen = written(opened.where(F.col("nth") <= PIVOTS).select("region", F.col("node").alias("pivot"), F.col("d").alias("pd"), reach.alias("reach")), "chosen")
+        near = region.join(chosen, "region").where((F.col("node") != F.col("pivot")) & (F.abs(F.col("d") - F.col("pd")) <= F.col("reach") + EPS))
         near = written(near.select("region", "pivot", "node", "open", (F.abs(F.col("d") - F.col("pd")) <= radius + EPS).alias("inner")), "near")
         ends = [F.least("pivot", "node").alias("pivot"), F.greatest("pivot", "node").alias("node")]
         found = written(verify(near.select(*ends).distinct()), "verified")
