@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, written
+from .common import SPACE
 
 K, W, UNIT = 3, 8, 16
 #: Of the rolling polynomial: a prime below 2^31, so that products stay below 2^63, and a base.
@@ -73,38 +73,42 @@ def likeness(a: Column, b: Column) -> Column:
     return F.element_at(F.transform(F.array(pair), dice), 1)
 
 
-def with_next(documents: DataFrame) -> DataFrame:
-    """doc_id, text, next: each text with that of the next document, descending doc_id, the first after
-    the last.
+def _cuts(docs: DataFrame) -> list[int]:
+    """Quantiles of the ids, descending: as many numbers as buckets, however many documents."""
+    n = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = docs.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 20_000).alias("q")).first()["q"] or []
+    return sorted({int(c) for c in found}, reverse=True)
 
-    Buckets of the id range, from its quantiles, are shuffled whole, so texts move once; each bucket's
-    window gives the next text within it, and the first text of each bucket, one row a bucket, goes to
-    the end of the bucket before it.
-    """
-    spark = documents.sparkSession
-    docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # quantiles of the ids: as many numbers as buckets, however many documents
-    cuts = docs.agg(F.percentile_approx("doc_id", [k / buckets for k in range(1, buckets)], 20_000).alias("q")).first()["q"] or []
-    cuts = sorted({int(c) for c in cuts}, reverse=True)
+
+def _bucket(cuts: list[int]) -> Column:
+    """How many cuts lie above the id, by a search in two steps: the coarse cut, then its neighbours."""
+    if not cuts:
+        return F.when(F.col("doc_id").isNull(), 1).otherwise(0)
     wide = max(1, int(len(cuts) ** 0.5))
     heads, whole = F.array(*[F.lit(c).cast("long") for c in cuts[::wide]]), F.array(*[F.lit(c).cast("long") for c in cuts])
-    # two-step search: the coarse cut, then its neighbours
-    coarse = F.size(F.filter(heads, lambda c: c > F.col("doc_id"))) if cuts else F.lit(0)
-    low = F.greatest(coarse - 1, F.lit(0)) * wide
-    place = low + F.size(F.filter(F.slice(whole, low + 1, F.lit(wide)), lambda c: c > F.col("doc_id"))) if cuts else F.lit(0)
-    placed = docs.withColumn("bucket", F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(place))
-    order = [F.col("doc_id").desc_nulls_last(), "text"]
-    w = Window.partitionBy("bucket").orderBy(*order)
-    rows = written(placed.withColumn("next", F.lead("text").over(w)).withColumn("nth", F.row_number().over(w)), "ordered")
-    starts = rows.where("nth = 1").select("bucket", F.col("text").alias("start"))
-    present = [r["bucket"] for r in starts.select("bucket").orderBy("bucket").collect()]  # a number a bucket
-    follow = dict(zip(present, present[1:] + present[:1], strict=True))
-    if not follow:
-        return rows.select("doc_id", "text", "next")
-    after = F.create_map(*[F.lit(x) for pair in follow.items() for x in pair])
-    last = rows.where("next is null").withColumn("after", after[F.col("bucket")]).join(starts.withColumnRenamed("bucket", "after"), "after").select("doc_id", "text", F.col("start").alias("next"))
-    return rows.where("next is not null").select("doc_id", "text", "next").union(last)
+    low = F.greatest(F.size(F.filter(heads, lambda c: c > F.col("doc_id"))) - 1, F.lit(0)) * wide
+    place = low + F.size(F.filter(F.slice(whole, low + 1, F.lit(wide)), lambda c: c > F.col("doc_id")))
+    return F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(place)
+
+
+def with_next(documents: DataFrame) -> DataFrame:
+    """doc_id, text, a (the kept entries of the text) of ``documents`` (doc_id, text), with the text and
+    entries of the next document as ``next``: descending doc_id, the first after the last.
+
+    Rows move once, to buckets of the id range; a window gives the next row within a bucket. What a
+    bucket starts with, one row a bucket, joins the end of the bucket before it by that bucket's number,
+    so the rows stay where they are.
+    """
+    placed = documents.withColumn("bucket", _bucket(_cuts(documents)))
+    w = Window.partitionBy("bucket").orderBy(F.col("doc_id").desc_nulls_last(), "text")
+    rows = placed.withColumn("a", winnow(F.col("text"))).withColumn("next", F.lead(F.struct("text", "a")).over(w))
+    # of equal ids the smallest text comes first, as in the window
+    top = placed.groupBy("bucket").agg(F.max("doc_id").alias("top"))
+    first = placed.join(top, "bucket").where(F.col("doc_id").eqNullSafe(F.col("top"))).groupBy("bucket").agg(F.min("text").alias("text"))
+    numbers = Window.orderBy("bucket")
+    before = top.select("bucket", F.lag("bucket").over(numbers).alias("before"), F.max("bucket").over(numbers.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("last"))
+    ends = first.join(before, "bucket").select(F.coalesce("before", "last").alias("bucket"), F.struct("text", winnow(F.col("text")).alias("a")).alias("start"))
+    return rows.join(ends, "bucket", "left").select("doc_id", "text", "a", F.coalesce("next", "start").alias("next"))
 
 
 def fingerprints(documents: DataFrame) -> DataFrame:
@@ -117,13 +121,12 @@ def fingerprints(documents: DataFrame) -> DataFrame:
 def compare_with_edits(documents: DataFrame) -> DataFrame:
     """Fingerprints of each text, of its edited text (its last half replaced by the start of the next
     document) and how like the text's are the edited text's and the next document's."""
-    both = with_next(documents)
+    docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    both = with_next(docs)
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next"), F.lit(1), half))
-    entries = both.select(
-        "doc_id", n.cast("long").alias("n_chars"), F.lower(F.sha2(edited, 256)).alias("edited_sha256"),
-        winnow(F.col("text")).alias("a"), winnow(edited).alias("b"), winnow(F.col("next")).alias("c"),
-    )
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next.text"), F.lit(1), half))
+    entries = both.select("doc_id", n.cast("long").alias("n_chars"), "a", F.col("next.a").alias("c"), edited.alias("edited"))
+    entries = entries.withColumn("b", winnow(F.col("edited")))
     a, b, c = F.col("a"), F.col("b"), F.col("c")
-    return entries.select("doc_id", "n_chars", "edited_sha256", fingerprint(a).alias("fingerprint"), fingerprint(b).alias("edited_fingerprint"), likeness(a, b).alias("near_edited"), likeness(a, c).alias("near_next"))
+    return entries.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(a).alias("fingerprint"), fingerprint(b).alias("edited_fingerprint"), likeness(a, b).alias("near_edited"), likeness(a, c).alias("near_next"))
