@@ -1 +1 @@
-
+"""Streams into tables of the engine."""
