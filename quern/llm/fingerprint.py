@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE
+from .common import SPACE, written
 
 K, W, UNIT = 3, 8, 16
 #: Of the rolling polynomial: a prime below 2^31, so that products stay below 2^63, and a base.
@@ -101,10 +101,11 @@ def with_next(documents: DataFrame) -> DataFrame:
     """
     placed = documents.withColumn("bucket", _bucket(_cuts(documents)))
     w = Window.partitionBy("bucket").orderBy(F.col("doc_id").desc_nulls_last(), "text")
-    rows = placed.withColumn("a", winnow(F.col("text"))).withColumn("next", F.lead(F.struct("text", "a")).over(w))
-    # of equal ids the smallest text comes first, as in the window
-    top = placed.groupBy("bucket").agg(F.max("doc_id").alias("top"))
-    first = placed.join(top, "bucket").where(F.col("doc_id").eqNullSafe(F.col("top"))).groupBy("bucket").agg(F.min("text").alias("text"))
+    # the first window moves the rows; entries are made after it, and the second one finds them in place
+    rows = placed.withColumn("nth", F.row_number().over(w)).withColumn("a", winnow(F.col("text"))).withColumn("next", F.lead(F.struct("text", "a")).over(w))
+    # a row for each bucket, from ids alone; of equal ids the smallest text comes first, as in the window
+    top = written(placed.groupBy("bucket").agg(F.max("doc_id").alias("top")), "top")
+    first = documents.join(F.broadcast(top), F.col("doc_id").eqNullSafe(F.col("top"))).groupBy("bucket").agg(F.min("text").alias("text"))
     numbers = Window.orderBy("bucket")
     before = top.select("bucket", F.lag("bucket").over(numbers).alias("before"), F.max("bucket").over(numbers.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("last"))
     ends = first.join(before, "bucket").select(F.coalesce("before", "last").alias("bucket"), F.struct("text", winnow(F.col("text")).alias("a")).alias("start"))
