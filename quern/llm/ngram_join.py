@@ -8,7 +8,10 @@ part). A set meets only those sets that agree with it on a part.
 
 Sizes fall into classes; a set has keys in the space of its class and, if a larger partner can lie in
 the next class, in that space too. Class 0 uses deletion keys, as its sets differ by one shingle at most.
-A set with more empty parts than the slack allows adds prefix-filter keys.
+A part that is empty, or that holds common shingles only (those of lines and passages that many
+documents share), says little, and its key would bring unrelated texts together; it is left out, and a
+set with more such parts than the slack allows adds prefix-filter keys, rare shingles first. Which
+shingles are common is counted over all documents, by hash; the result doesn't depend on it.
 
 Edge cases: a null or blank text has no shingles, is linked with nothing and is its own component;
 fewer words than n give one shingle, the whole sequence; rows with a null doc_id have a null component
@@ -24,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Memo, mix, written
@@ -36,6 +39,8 @@ _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 #: Sets up to this size form class 0, each further class reaches GROWTH times as far as the one before.
 SMALL, GROWTH, CLASSES = 12, 1.3, 120
+#: Shingles are counted by so many leading bits; those in this share of the documents are common.
+COUNT_BITS, COMMON, COMMON_LEAST = 22, 1e-3, 50
 
 
 class Shingles:
@@ -62,8 +67,11 @@ class Shingles:
 class Keys:
     """Bucket keys of a set, such that any two sets that link share at least one."""
 
-    def __init__(self, percent: int):
+    def __init__(self, percent: int, common: np.ndarray | None = None):
         self.percent = percent
+        self.common = np.zeros(1 << COUNT_BITS, bool)
+        if common is not None:
+            self.common[common] = True
         top = [SMALL]
         while len(top) < CLASSES:
             top.append(max(top[-1] + 1, int(top[-1] * max(GROWTH, 100 / percent + 0.01))))
@@ -93,33 +101,50 @@ class Keys:
         at = (mix(s ^ tag) % np.uint64(parts)).astype(np.int64)
         sums = np.zeros(parts, np.uint64)
         np.add.at(sums, at, mix(s + _STEPS[3]))
-        full = np.flatnonzero(np.bincount(at, minlength=parts))
+        rare = ~self.common[_slot(s)]
+        full = np.flatnonzero(np.bincount(at[rare], minlength=parts))
         keys = mix(sums[full] + mix(full.astype(np.uint64) + tag))
-        if parts - len(full) > slack:  # the parts may agree only where both are empty
-            prefix = s[: len(s) - -(-len(s) * self.percent // 100) + 1]
+        if parts - len(full) > slack:  # two sets may agree only on parts without a key
+            prefix = np.concatenate((s[rare], s[~rare]))[: len(s) - -(-len(s) * self.percent // 100) + 1]
             keys = np.append(keys, mix((prefix ^ _STEPS[4]) + tag))
         return keys
 
 
+def _slot(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
+
+
 def _sets(documents: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, and a 128-bit hash of the set."""
+    """doc_id, n_shingles, and a 128-bit hash of the set. Rows with n_shingles -1 are counts instead: h1
+    is a slot of shingles, h2 the different sets of a task that have one there, if they are many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingles(n)
+        shingles, counts, seen = Shingles(n), np.zeros(1 << COUNT_BITS, np.int32), set()
+        names = ["doc_id", "n_shingles", "h1", "h2"]
         for b in batches:
-            sets = [shingles(t.as_py()) for t in b.column(1)]
-            both = [divmod(xxhash.xxh3_128_intdigest(s.tobytes()), 1 << 64) for s in sets]
+            sizes, both = [], []
+            for t in b.column(1):
+                s = shingles(t.as_py())
+                h = xxhash.xxh3_128_intdigest(s.tobytes())
+                if h not in seen:
+                    seen.add(h)
+                    counts[np.unique(_slot(s))] += 1
+                sizes.append(len(s))
+                both.append(divmod(h, 1 << 64))
             hi, lo = (pa.array(np.array([x[k] for x in both], np.uint64).view(np.int64)) for k in (0, 1))
-            yield pa.record_batch([b.column(0), pa.array([len(s) for s in sets], pa.int64()), hi, lo], names=["doc_id", "n_shingles", "h1", "h2"])
+            yield pa.record_batch([b.column(0), pa.array(sizes, pa.int64()), hi, lo], names=names)
+        slots = np.flatnonzero(counts >= max(3, COMMON * len(seen)))
+        yield pa.record_batch([pa.nulls(len(slots), pa.int64()), pa.array(np.full(len(slots), -1)), pa.array(slots), pa.array(counts[slots].astype(np.int64))], names=names)
 
     return documents.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long")
 
 
-def _buckets(documents: DataFrame, n: int, percent: int) -> DataFrame:
+def _buckets(documents: DataFrame, n: int, percent: int, common: np.ndarray) -> DataFrame:
     """(key, node) of each distinct set of each task; its first document stands for the set."""
+    held_common = documents.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, keys, seen = Shingles(n), Keys(percent), set()
+        shingles, keys, seen = Shingles(n), Keys(percent, held_common.value), set()
         for b in batches:
             found, nodes, held = [], [], 0
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -151,9 +176,22 @@ def _payloads(documents: DataFrame, n: int) -> DataFrame:
         for b in batches:
             for lo in range(0, b.num_rows, 500):
                 part = b.slice(lo, 500)
-                yield pa.record_batch([part.column(0), pa.array([shingles(t.as_py()).tobytes() for t in part.column(1)], pa.binary())], names=["node", "payload"])
+                sets = [shingles(t.as_py()) for t in part.column(1)]
+                sketches = [np.bincount((s >> np.uint64(64 - 7)).astype(np.int64), minlength=128).tolist() for s in sets]
+                yield pa.record_batch([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(sketches, pa.list_(pa.int32()))], names=["node", "payload", "sketch"])
+
+    return documents.mapInArrow(run, "node long, payload binary, sketch array<int>")
+
+
+def _may_link(percent: int):
+    """Two sets differ by at least what their counts by leading bits differ by in sum."""
+
+    def may(a: Column, b: Column) -> Column:
+        differ = F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
+        both = F.aggregate(F.concat(a, b), F.lit(0), lambda s, x: s + x)
+        return differ * (100 + percent) <= both * (100 - percent)
 
-    return documents.mapInArrow(run, "node long, payload binary")
+    return may
 
 
 def _verifier(payloads: DataFrame, percent: int):
@@ -183,14 +221,19 @@ def ngram_links(documents: DataFrame, n: int = 5, percent: int = 80) -> tuple[Da
     """(sets, links): doc_id, n_shingles, h1, h2 for each row, and (a, b) links of doc_ids that connect
     all documents that a chain of pairs at ``percent`` or more connects."""
     docs = documents.select("doc_id", "text")
-    sets = written(_sets(docs, n), "sets")
+    counted = written(_sets(docs, n), "sets")
+    sets = counted.where("n_shingles >= 0")
+    least = max(COMMON_LEAST, COMMON * sets.count())
+    common = counted.where("n_shingles < 0").groupBy("h1").agg(F.sum("h2").alias("n")).where(F.col("n") >= least)
+    # slots, not shingles: 2^COUNT_BITS at most
+    slots = np.array(sorted(r["h1"] for r in common.select("h1").collect()), np.int64)
     some = sets.where("n_shingles > 0 and doc_id is not null")
     copies = some.join(some.groupBy("h1", "h2").agg(F.min("doc_id").alias("b")), ["h1", "h2"]).where("doc_id != b").select(F.col("doc_id").alias("a"), "b")
-    pairs = written(pivot_pairs(_buckets(docs, n, percent)), "pairs")
+    pairs = written(pivot_pairs(_buckets(docs, n, percent, slots)), "pairs")
     nodes = written(pairs.select("pivot").union(pairs.select("node")).distinct().withColumnRenamed("pivot", "doc_id"), "nodes")
-    payloads = _payloads(docs.join(nodes, "doc_id", "left_semi"), n).where(F.length("payload") > 0).groupBy("node").agg(F.max("payload").alias("payload"))
+    payloads = _payloads(docs.join(nodes, "doc_id", "left_semi"), n).where(F.length("payload") > 0).groupBy("node").agg(F.max(F.struct("payload", "sketch")).alias("m")).select("node", "m.*")
     payloads = written(payloads, "payloads")
-    return sets, copies.union(links_in_regions(pairs, _verifier(payloads, percent), 1 - percent / 100))
+    return sets, copies.union(links_in_regions(pairs, _verifier(payloads.select("node", "payload"), percent), 1 - percent / 100, payloads.select("node", "sketch"), _may_link(percent)))
 
 
 def ngram_components(documents: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:

@@ -8,20 +8,22 @@ members that the triangle inequality lets reach its open items, those at the bor
 into several cells; and the cells are treated in the same way until nothing is open.
 
 The links that come out have the same connected components as all links there are: a pair is left out
-only where both sides are linked to one pivot, or where the triangle inequality rules it out.
+only where known links connect both sides, or where the triangle inequality or a sketch rules it out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
+from .components import components
 
 #: New pivots of a region in one round.
-PIVOTS = 256
+PIVOTS = 1024
 #: Slack for floating point in window comparisons; it only adds comparisons.
 EPS = 1e-9
 
@@ -41,11 +43,13 @@ def pivot_pairs(buckets: DataFrame, seed: str | None = None) -> DataFrame:
     return pairs.select("pivot", "node").distinct()
 
 
-def links_in_regions(pairs: DataFrame, verify: Verify, radius: float) -> DataFrame:
+def links_in_regions(pairs: DataFrame, verify: Verify, radius: float, sketches: DataFrame, may_link: Callable[[Column, Column], Column]) -> DataFrame:
     """(a, b) links that connect what all links connect.
 
     ``pairs`` has (pivot, node). ``verify`` takes (pivot, node) and adds ``dist`` and ``linked``; dist may
-    be capped at any value of twice the radius or more.
+    be capped at any value of twice the radius or more. ``sketches`` has (node, sketch), and ``may_link``
+    tells from two sketches that a pair can't link; where a region ends with this round, such pairs are
+    not compared.
     """
     found = written(verify(pairs), "verified")
     links = [found.where("linked").select(F.col("pivot").alias("a"), F.col("node").alias("b"))]
@@ -60,8 +64,14 @@ def links_in_regions(pairs: DataFrame, verify: Verify, radius: float) -> DataFra
         # where open items are left over, a new pivot also measures what only they may reach
         reach = F.when(F.col("n") > PIVOTS, 2.0 * radius).otherwise(float(radius))
         chosen = written(opened.where(F.col("nth") <= PIVOTS).select("region", F.col("node").alias("pivot"), F.col("d").alias("pd"), reach.alias("reach")), "chosen")
-        near = region.join(chosen, "region").where((F.col("node") != F.col("pivot")) & (F.abs(F.col("d") - F.col("pd")) <= F.col("reach") + EPS))
-        near = written(near.select("region", "pivot", "node", "open", (F.abs(F.col("d") - F.col("pd")) <= radius + EPS).alias("inner")), "near")
+        # pairs that known links connect already need no look
+        labels = components(_all(links))
+        known = sketches.join(labels, "node", "left").select("node", "sketch", F.coalesce("component", "node").alias("label"))
+        mine = known.select(F.col("node").alias("pivot"), F.col("sketch").alias("ps"), F.col("label").alias("pl"))
+        apart = F.abs(F.col("d") - F.col("pd"))
+        near = region.join(known, "node").join(chosen.join(mine, "pivot"), "region")
+        near = near.where((F.col("node") != F.col("pivot")) & (apart <= F.col("reach") + EPS) & ((F.col("reach") > radius) | ((F.col("label") != F.col("pl")) & may_link(F.col("sketch"), F.col("ps")))))
+        near = written(near.select("region", "pivot", "node", "open", (apart <= radius + EPS).alias("inner")), "near")
         ends = [F.least("pivot", "node").alias("pivot"), F.greatest("pivot", "node").alias("node")]
         found = written(verify(near.select(*ends).distinct()), "verified")
         links.append(found.where("linked").select(F.col("pivot").alias("a"), F.col("node").alias("b")))
@@ -79,7 +89,8 @@ def links_in_regions(pairs: DataFrame, verify: Verify, radius: float) -> DataFra
         stay = region.join(gone, ["region", "node"], "left").withColumn("open", F.col("open") & F.col("gone").isNull()).select("region", "node", "d", "open")
         # cells of one pivot that came from several regions are one region; a pivot is never again a region of its own before
         region = written(stay.join(stay.where("open").select("region").distinct(), "region", "left_semi").union(cells.select("region", "node", "d", "open")).groupBy("region", "node").agg(F.min("d").alias("d"), F.max("open").alias("open")), "region")
-    out = links[0]
-    for more in links[1:]:
-        out = out.union(more)
-    return out
+    return _all(links)
+
+
+def _all(links: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.union, links)
