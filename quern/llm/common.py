@@ -8,6 +8,7 @@ import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: White space of the word definition used throughout: 0x20 and 0x09-0x0D, nothing else.
 SPACE = r"\x20\x09-\x0D"
@@ -61,6 +62,35 @@ def drop_scratch() -> None:
 atexit.register(drop_scratch)
 
 
+#: Bits of an IdFilter at most: 16 MB.
+MOST_BITS = 1 << 27
+
+
+class IdFilter:
+    """A bitmap of 64-bit ids, so that rows which surely aren't wanted stay out of a shuffle. It may let
+    others pass, ever more beyond some ten million ids, so an exact join has to follow."""
+
+    def __init__(self, ids: DataFrame):
+        """``ids`` has one long column."""
+        (name,) = ids.columns
+        n = ids.count()
+        self.bits = max(1 << 15, min(MOST_BITS, 1 << (16 * n).bit_length()))
+        at = F.col(name).bitwiseAND(F.lit(self.bits - 1)) + 1
+        parts = ids.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bitmap"))
+        found = np.zeros(self.bits // 8, np.uint8)
+        for r in parts.collect():  # 4 KB a bucket, MOST_BITS in all
+            lo = (r["bucket"] - 1) * 4096
+            found[lo : lo + 4096] = np.frombuffer(r["bitmap"], np.uint8)[: len(found) - lo]
+        self.held = ids.sparkSession.sparkContext.broadcast(found)
+
+    def __getstate__(self):
+        return {"bits": self.bits, "held": self.held}
+
+    def __call__(self, ids: np.ndarray) -> np.ndarray:
+        at = ids & np.int64(self.bits - 1)
+        return (self.held.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser over unsigned integers: every input bit moves about half of the output bits."""
     x = x.astype(np.uint64, copy=True)

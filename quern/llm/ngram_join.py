@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, mix, written
+from .common import IdFilter, Memo, mix, written
 from .components import components
 from .regions import links_in_regions, pivot_pairs
 
@@ -170,10 +170,14 @@ def _rows(found: list[np.ndarray], nodes: list[tuple[int, int]]) -> pa.RecordBat
     return pa.record_batch([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(ids, counts))], names=["key", "node"])
 
 
-def _payloads(documents: DataFrame, n: int) -> DataFrame:
+def _payloads(documents: DataFrame, n: int, wanted: IdFilter) -> DataFrame:
+    """node, its set and sketch, of the documents that ``wanted`` lets pass."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(n)
         for b in batches:
+            b = b.filter(b.column(0).is_valid())
+            b = b.filter(pa.array(wanted(b.column(0).to_numpy()), pa.bool_()))
             for lo in range(0, b.num_rows, 500):
                 part = b.slice(lo, 500)
                 sets = [shingles(t.as_py()) for t in part.column(1)]
@@ -230,8 +234,8 @@ def ngram_links(documents: DataFrame, n: int = 5, percent: int = 80) -> tuple[Da
     some = sets.where("n_shingles > 0 and doc_id is not null")
     copies = some.join(some.groupBy("h1", "h2").agg(F.min("doc_id").alias("b")), ["h1", "h2"]).where("doc_id != b").select(F.col("doc_id").alias("a"), "b")
     pairs = written(pivot_pairs(_buckets(docs, n, percent, slots)), "pairs")
-    nodes = written(pairs.select("pivot").union(pairs.select("node")).distinct().withColumnRenamed("pivot", "doc_id"), "nodes")
-    payloads = _payloads(docs.join(nodes, "doc_id", "left_semi"), n).where(F.length("payload") > 0).groupBy("node").agg(F.max(F.struct("payload", "sketch")).alias("m")).select("node", "m.*")
+    nodes = written(pairs.select("pivot").union(pairs.select("node")).distinct().withColumnRenamed("pivot", "node"), "nodes")
+    payloads = _payloads(docs, n, IdFilter(nodes)).join(nodes, "node", "left_semi").where(F.length("payload") > 0).groupBy("node").agg(F.max(F.struct("payload", "sketch")).alias("m")).select("node", "m.*")
     payloads = written(payloads, "payloads")
     return sets, copies.union(links_in_regions(pairs, _verifier(payloads.select("node", "payload"), percent), 1 - percent / 100, payloads.select("node", "sketch"), _may_link(percent)))
 
