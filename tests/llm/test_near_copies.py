@@ -1,0 +1,117 @@
+from __future__ import annotations
+
+import random
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from quern.llm import line_dedup, ngram_join, regions
+from quern.llm.components import components
+
+from . import brute
+
+
+@pytest.mark.parametrize(("n", "percent"), [(4, 85), (5, 80)])
+def test_ngram_components_equal_brute_force(spark, corpus, documents, n, percent):
+    sets = {r[0]: brute.shingles(r[1], n) for r in corpus}
+    want = brute.groups(sets, lambda a, b: bool(sets[a]) and bool(sets[b]) and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_components(documents, n, percent).collect()}
+    assert got == {k: (len(sets[k]), want[k]) for k in sets}
+
+
+def test_ngram_odd_cases(spark, documents, odd_documents, no_documents):
+    got = sorted(map(tuple, ngram_join.ngram_components(odd_documents).collect()), key=repr)
+    assert got == [(1, 3, 1), (1, 3, 1), (2, 1, 2), (None, 0, None), (None, 1, None)]
+    assert ngram_join.ngram_components(no_documents).count() == 0 and ngram_join.keep_one(no_documents).count() == 0
+    kept = ngram_join.keep_one(odd_documents)
+    assert kept.columns == odd_documents.columns and kept.count() == 4
+
+
+def test_set_keys_meet_whenever_sets_link():
+    import numpy as np
+
+    rng = random.Random(3)
+    for percent in (85, 80):
+        keys = ngram_join.Keys(percent, np.arange(0, 1 << ngram_join.COUNT_BITS, 2))  # half of all shingles common
+        for _ in range(1500):
+            n = int(10 ** rng.uniform(0, 2.7))
+            a = {rng.getrandbits(64) for _ in range(n)}
+            b = set(rng.sample(sorted(a), max(1, n - rng.randint(0, max(1, n // 8))))) | {rng.getrandbits(64) for _ in range(rng.randint(0, max(1, n // 12)))}
+            if 100 * len(a & b) >= percent * len(a | b):
+                x, y = (np.concatenate(keys(np.array(sorted(s), np.uint64))) for s in (a, b))
+                assert set(x.tolist()) & set(y.tolist())
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("abc", max_size=14), st.text("abc", max_size=14), st.sampled_from([1, 2, 4]))
+def test_edit_distance(a, b, k):
+    assert line_dedup.edit_distance(a, b, k) == min(brute.edit_distance(a, b), k + 1)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("ab", min_size=18, max_size=60), st.lists(st.tuples(st.integers(0, 60), st.sampled_from(["a", "b", "", "ab"])), max_size=2))
+def test_lines_meet_whenever_they_link(a, changes):
+    b = a
+    for at, c in changes:
+        b = b[:at] + c + b[at + 1 :]
+    if a != b and brute.edit_distance(a, b) <= line_dedup.allowed(min(len(a), len(b))):
+        look = lambda s, own: {(k, s[x:y]) for k, x, y, o in line_dedup.probes(len(s)) if o or not own}
+        assert look(a, False) & look(b, True) or look(b, False) & look(a, True)
+
+
+def test_line_classes_equal_brute_force(spark, corpus, documents):
+    lines = {(d, i): x for d, t, *_ in corpus for i, x in enumerate((t or "").split("\n")) if t and len(x) < 1000}
+    full = {k: x for k, x in lines.items() if x.strip()}
+
+    def linked(a, b):
+        x, y = full[a], full[b]
+        k = line_dedup.allowed(min(len(x), len(y)))
+        return x == y or (k > 0 and abs(len(x) - len(y)) <= k and brute.edit_distance(x, y) <= k)
+
+    want = brute.groups(full, linked) | {k: k for k in lines.keys() - full.keys()}
+    got = {(r.doc_id, r.line_no): (r.class_doc_id, r.class_line_no) for r in line_dedup.line_classes(documents).collect()}
+    assert {k: v for k, v in got.items() if k in lines} == want
+    kept = {r.doc_id: r.text for r in line_dedup.drop_repeated_lines(documents).collect()}
+    for d, t, *_ in corpus:
+        rest = [x for i, x in enumerate((t or "").split("\n")) if want.get((d, i), (d, i)) == (d, i)]
+        if t and t.strip() and not "".join(rest).strip():
+            assert d not in kept
+        else:
+            assert kept[d] == (None if t is None else "\n".join(rest))
+
+
+def test_line_odd_cases(odd_documents, no_documents):
+    assert line_dedup.line_classes(no_documents).count() == 0 and line_dedup.drop_repeated_lines(no_documents).count() == 0
+    assert line_dedup.line_classes(odd_documents).count() == 5
+    kept = line_dedup.drop_repeated_lines(odd_documents)
+    assert kept.columns == odd_documents.columns and kept.count() == 5
+
+
+def test_components(spark):
+    chain = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 102), (101, 103), (7, 7)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 104)}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_regions_recurse_exactly(spark, monkeypatch):
+    """One bucket of points on a line, so that many rounds of pivots are needed."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(regions, "PIVOTS", 2)
+    rng = random.Random(2)
+    points = sorted(rng.sample(range(1000), 60))
+    rng.shuffle(points)
+    place = spark.createDataFrame([(i, float(x)) for i, x in enumerate(points)], "node long, x double")
+
+    def verify(pairs):
+        p = place.select(F.col("node").alias("pivot"), F.col("x").alias("px"))
+        d = F.abs(F.col("x") - F.col("px"))
+        return pairs.join(place, "node").join(p, "pivot").select("pivot", "node", d.alias("dist"), (d <= 12).alias("linked"))
+
+    pairs = regions.pivot_pairs(place.select(F.lit(1).alias("key"), "node"))
+    links = regions.links_in_regions(pairs, verify, 12, place.select("node", F.col("x").alias("sketch")), lambda a, b: F.abs(a - b) <= 12)
+    got = {r.node: r.component for r in components(links).collect()}
+    want = brute.groups(range(60), lambda a, b: abs(points[a] - points[b]) <= 12)
+    assert {k: got.get(k, k) for k in range(60)} == want
