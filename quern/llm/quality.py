@@ -70,22 +70,18 @@ def context_vectors(documents: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, index = Words(), index_vectors()
         total = np.zeros((ROWS, DIMS), np.float64)
-        near = [(np.flatnonzero(index[:, d] != 0), index[index[:, d] != 0, d]) for d in range(DIMS)]
+        at = np.argsort(index == 0, axis=1, kind="stable")[:, :ONES]  # of the ones; where two fell together a zero follows
+        sign = np.take_along_axis(index, at, axis=1)
+        gap = np.array([-1, -1], np.int64)  # keeps windows within a document
         for b in batches:
-            gap = np.array([-1, -1], np.int64)  # keeps windows within a document
-            for lo in range(0, b.num_rows, 256):
-                w = np.concatenate([x for t in b.column(0).slice(lo, 256) for x in (words(t.as_py()), gap)])
-                pairs = []
-                for k in (1, 2):
-                    left, right = w[:-k], w[k:]
-                    ok = (left >= 0) & (right >= 0)
-                    left, right = left[ok], right[ok]
-                    pairs += [left * ROWS + right, right * ROWS + left]
-                key, n = np.unique(np.concatenate(pairs), return_counts=True)
-                word, other = key // ROWS, key % ROWS
-                starts = np.flatnonzero(np.diff(word, prepend=-1))
-                if len(starts):
-                    total[word[starts]] += np.add.reduceat(index[other] * n[:, None], starts, axis=0)
+            held: list[np.ndarray] = []
+            for t in b.column(0):
+                held += (words(t.as_py()), gap)
+                if len(held) > 4096 or len(held[-2]) > 1_000_000:
+                    _add_contexts(total, np.concatenate(held), at, sign)
+                    held = []
+            if held:
+                _add_contexts(total, np.concatenate(held), at, sign)
         some = np.flatnonzero(np.abs(total).sum(axis=1))
         for lo in range(0, len(some), 2048):
             rows = some[lo : lo + 2048]
@@ -108,6 +104,19 @@ def context_vectors(documents: DataFrame) -> np.ndarray:
     return (out / np.maximum(np.sqrt((out * out).sum(axis=1, keepdims=True)), 1e-9)).astype(np.float32)
 
 
+def _add_contexts(total: np.ndarray, words: np.ndarray, at: np.ndarray, sign: np.ndarray) -> None:
+    """Add to each word's row the index vectors of the words up to two places off."""
+    flat = total.reshape(-1)
+    for k in (1, 2):
+        left, right = words[:-k], words[k:]
+        both = (left >= 0) & (right >= 0)
+        left, right = left[both], right[both]
+        for word, other in ((left, right), (right, left)):
+            rows = word * DIMS
+            for j in range(ONES):
+                flat += np.bincount(rows + at[other, j], weights=sign[other, j], minlength=len(flat))
+
+
 class Pooling:
     """Features of a document from its words' vectors."""
 
