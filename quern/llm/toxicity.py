@@ -8,10 +8,9 @@ exception phrase covers it. A document's features are its summed weight and that
 length; a logistic of both gives the score.
 
 The lexicon starts from a few plain insults and gains terms and weights from labelled rows of the
-training fold, by covering: the word that best marks the toxic rows still unexplained enters, and the
-rows that hold it are done. Copies of a text vote once, and a word that comes only along with another one
-gets no vote of its own. Rows and terms that the fit looks at are bounded (``most_rows``,
-``most_terms``).
+training fold: words that are in toxic texts more often than chance can explain, and hardly in others.
+Near copies of a text vote once, so that the words of a text that was copied don't count as its insults.
+Rows and terms are bounded (``most_rows``, ``most_terms``).
 
 Edge cases: a null or empty text holds no term and gets the score of a text without terms; null or
 repeated doc_ids are scored like any other rows; without labels of both kinds the seed weights stand; an
@@ -30,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
 from .quality import held_out, training_rows
 
 THRESHOLD = 0.5
@@ -141,8 +141,7 @@ def _words(text: str) -> set[str]:
 
 
 def fit_lexicon(training: DataFrame, most_terms: int = MOST_TERMS) -> dict[str, float]:
-    """Weights of the terms, from (label, text) rows. At most 20 * ``most_terms`` words with their rows
-    come to the driver, and rows are bounded by the sample."""
+    """Weights of the terms, from (label, text) rows; ``most_terms`` learned ones at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -161,29 +160,15 @@ def fit_lexicon(training: DataFrame, most_terms: int = MOST_TERMS) -> dict[str,
     pairs = training.select("label", "text").mapInArrow(run, "word string, label int, row long").distinct()
     n1 = training.where("label = 1").count()
     n0 = training.count() - n1
-    if not n0 or not n1:
-        return dict.fromkeys(SEEDS, 3.0)
-    counts = pairs.groupBy("word").agg(F.sum("label").alias("d1"), F.sum(1 - F.col("label")).alias("d0")).where("d1 >= 3")
-    ratio = F.log((F.col("d1") + 0.5) / (n1 + 1)) - F.log((F.col("d0") + 0.5) / (n0 + 1))
-    strong = counts.withColumn("z", ratio / F.sqrt(1 / (F.col("d1") + 0.5) + 1 / (F.col("d0") + 0.5))).where((ratio > 1) & (F.col("z") > 3)).orderBy(F.col("z").desc(), "word").limit(20 * most_terms)
-    rows: dict[str, tuple[set[int], set[int]]] = {}
-    for word, label, row in pairs.join(F.broadcast(strong.select("word")), "word").collect():
-        rows.setdefault(word, (set(), set()))[label].add(row)
     out = dict.fromkeys(SEEDS, 3.0)
-    done: set[int] = set()
-    for seed in SEEDS:
-        done |= rows.pop(seed, (set(), set()))[1]
-    while rows and len(out) < most_terms:
-        left = {w: len(r[1] - done) for w, r in rows.items()}
-        word = max(rows, key=lambda w: (left[w] - 5 * len(rows[w][0]), w))
-        # chance words mark a few rows each; a term has to explain a share of them by itself
-        if left[word] < max(3, 0.004 * n1):
-            break
-        zero, one = rows.pop(word)
-        if len(one) < 4 or len(zero) * 10 > len(one):
-            continue
-        out[word] = math.log((len(one) + 0.5) / (n1 + 1)) - math.log((len(zero) + 0.5) / (n0 + 1))
-        done |= one
+    if not n0 or not n1:
+        return out
+    counts = written(pairs.groupBy("word").agg(F.sum("label").alias("d1"), F.sum(1 - F.col("label")).alias("d0")).where("d1 + d0 >= 3"), "counts")
+    # of so many words, less than one comes by chance into d1 toxic texts and none else
+    least = math.log(2 * max(1, counts.count())) / math.log((n0 + n1) / n1)
+    found = counts.where((F.col("d1") >= least) & (F.col("d0") * 10 <= F.col("d1"))).orderBy(F.col("d1").desc(), "word").limit(most_terms)
+    for r in found.collect():
+        out[r["word"]] = math.log((r["d1"] + 0.5) / (n1 + 1)) - math.log((r["d0"] + 0.5) / (n0 + 1))
     return out
 
 
