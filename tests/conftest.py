@@ -16,7 +16,7 @@ def spark(tmp_path_factory):
     base = tmp_path_factory.mktemp("spark")
     session = (
         SparkSession.builder.master("local[4]").appName("quern-tests")
-        .config("spark.driver.memory", "4g").config("spark.sql.shuffle.partitions", "4").config("spark.default.parallelism", "4")
+        .config("spark.driver.memory", "4g").config("spark.sql.shuffle.partitions", "2").config("spark.default.parallelism", "2")
         .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC")
         .config("spark.checkpoint.dir", f"file://{base}/shared").config("spark.sql.warehouse.dir", f"file://{base}/warehouse")
         .getOrCreate()
