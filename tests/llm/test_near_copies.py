@@ -60,6 +60,36 @@ def test_lines_meet_whenever_they_link(a, changes):
         assert look(a, False) & look(b, True) or look(b, False) & look(a, True)
 
 
+def test_long_lines_meet_whenever_they_link():
+    import numpy as np
+
+    rng = random.Random(4)
+    points = lambda s: np.frombuffer(s.encode("utf-32-le"), np.uint32)
+    for _ in range(600):
+        a = "".join(rng.choice("ab" if rng.random() < 0.2 else "abcdefgh ") for _ in range(rng.randint(line_dedup.LONG, 900)))
+        b = a
+        for _ in range(rng.randint(1, line_dedup.allowed(len(a)))):
+            at = rng.randrange(len(b))
+            b = b[:at] + rng.choice(["", "x", b[at] + "y"]) + b[at + 1 :]
+        k = line_dedup.allowed(min(len(a), len(b)))
+        if min(len(a), len(b)) >= line_dedup.LONG and a != b and line_dedup.edit_distance(a, b, k) <= k:
+            x, y = ({key for keys in line_dedup.gram_keys(points(s), [c for c in line_dedup.spaces(len(s)) if c]) for key in keys.tolist()} for s in (a, b))
+            assert x & y
+
+
+def test_the_edit_bound_grows_with_the_line(spark):
+    rng = random.Random(6)
+    rows = []
+    for i, n in enumerate((97, 130, 400, 1500)):
+        a = "".join(rng.choice("abcdefghijkl ") for _ in range(n))
+        at, k = n // 3, line_dedup.allowed(n)
+        assert k >= 3
+        rows += [(3 * i, a), (3 * i + 1, a[:at] + "Z" * k + a[at + k :]), (3 * i + 2, a[:at] + "Y" * (k + 1) + a[at + k + 1 :])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.class_doc_id for r in line_dedup.line_classes(docs).collect()}
+    assert got == {3 * i + j: 3 * i + (2 if j == 2 else 0) for i in range(4) for j in range(3)}
+
+
 def test_line_classes_equal_brute_force(spark, corpus, documents):
     lines = {(d, i): x for d, t, *_ in corpus for i, x in enumerate((t or "").split("\n")) if t and len(x) < 1000}
     full = {k: x for k, x in lines.items() if x.strip()}
