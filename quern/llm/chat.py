@@ -2,7 +2,7 @@
 are rendered. Native operators only.
 
 A log may hold a conversation after each of its turns. Each turn has a hash of its place, role and text;
-running sums of these give each prefix a 2 x 47-bit hash (two seeds). A conversation whose whole hash
+running sums of these, modulo 2^62, give each prefix a 2 x 62-bit hash (two seeds). A conversation whose whole hash
 is a proper prefix of another one, or that equals one with a smaller id, goes by anti-join; a prefix is
 looked up once however many conversations share it.
 
@@ -20,8 +20,9 @@ from .common import written
 
 #: How a turn is rendered; {role} and {text} are filled in.
 TEMPLATE = "<|{role}|>\n{text}\n<|end|>\n"
-#: Sums of 47-bit hashes stay below 2^63 for up to 65,536 turns.
-_MASK = (1 << 47) - 1
+#: Hashes have 62 bits. They are added up in halves of 31 bits, whose sums stay below 2^63 for 2^32 turns.
+_HALF = 31
+_MASK = (1 << _HALF) - 1
 
 
 def prefix_hashes(conversations: DataFrame) -> DataFrame:
@@ -30,8 +31,11 @@ def prefix_hashes(conversations: DataFrame) -> DataFrame:
     by = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     placed = turns.withColumn("place", F.row_number().over(by) - 1)
     for name, seed in (("h1", 11), ("h2", 47)):
-        own = F.xxhash64(F.lit(seed), "place", "role", "text").bitwiseAND(F.lit(_MASK))
-        placed = placed.withColumn(name, F.sum(own).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        own = F.xxhash64(F.lit(seed), "place", "role", "text")
+        running = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        low = F.sum(own.bitwiseAND(F.lit(_MASK))).over(running)
+        high = F.sum(F.shiftrightunsigned(own, _HALF).bitwiseAND(F.lit(_MASK))).over(running) + F.shiftright(low, _HALF)
+        placed = placed.withColumn(name, F.shiftleft(high.bitwiseAND(F.lit(_MASK)), _HALF).bitwiseOR(low.bitwiseAND(F.lit(_MASK))))
     return placed.select("conv_id", "place", "role", "text", "h1", "h2")
 
 

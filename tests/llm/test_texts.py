@@ -201,3 +201,14 @@ def test_chat(spark):
     assert got[7].rendered == "<|user|>\nz\n<|end|>\n"
     assert got[8].rendered == "<|user|>\nb\n<|end|>\n<|assistant|>\nc\n<|end|>\n"
     assert chat.collapse_and_render(table.where("conv_id > 100")).count() == 0
+
+
+def test_chat_keeps_conversations_of_many_turns(spark):
+    from pyspark.sql import functions as F
+
+    n = 300_000
+    turns = lambda conv, n: spark.range(n).select(F.lit(conv).cast("long").alias("conv_id"), F.col("id").cast("int").alias("turn"), F.lit("user").alias("role"), F.concat(F.lit("t"), "id").alias("text"))
+    log = turns(1, n).union(turns(2, n - 1)).union(turns(3, n))
+    got = chat.collapse_and_render(log).select("conv_id", "n_turns", "copies", F.length("rendered").alias("size")).collect()
+    size = sum(len(chat.TEMPLATE.format(role="user", text=f"t{i}")) for i in range(n))
+    assert [tuple(r) for r in got] == [(1, n, 2, size)]
