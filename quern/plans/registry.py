@@ -182,6 +182,38 @@ for _strategy in ("hash", "merge", "broadcast"):
     _joined("inner", "INNER", _strategy)
 
 
+def _joined_whole(how: str, sql_how: str, strategy: str | None = None) -> None:
+    """Whole customer and orders."""
+
+    def run(t: Tables) -> DataFrame:
+        c, o = t.scan("customer", ["c_custkey"]), t.scan("orders", ["o_orderkey", "o_custkey", "o_totalprice"])
+        return jn.join(c, o, F.col("c_custkey") == F.col("o_custkey"), how, strategy).select("c_custkey", "o_orderkey", "o_totalprice")
+
+    run.__name__ = f"join_{strategy or how}_whole"
+    query(f"SELECT c_custkey, o_orderkey, o_totalprice FROM customer {sql_how} JOIN orders ON c_custkey = o_custkey")(run)
+
+
+def _joined_lines(how: str, sql_how: str) -> None:
+    """Whole orders and lineitem, with the orders that have no lines on the side that the join keeps."""
+    tables = {"orders": ["o_orderkey", "o_totalprice"], "lineitem": ["l_orderkey", "l_linenumber"]}
+    left, right = ("lineitem", "orders") if how == "right" else ("orders", "lineitem")
+
+    def run(t: Tables) -> DataFrame:
+        joined = jn.join(t.scan(left, tables[left]), t.scan(right, tables[right]), F.col("o_orderkey") == F.col("l_orderkey"), how)
+        return joined.select("o_orderkey", "o_totalprice", "l_linenumber")
+
+    run.__name__ = f"join_{how}_lines"
+    query(f"SELECT o_orderkey, o_totalprice, l_linenumber FROM {left} {sql_how} JOIN {right} ON o_orderkey = l_orderkey")(run)
+
+
+for _how, _sql in (("inner", "INNER"), ("left", "LEFT"), ("right", "RIGHT"), ("full", "FULL")):
+    _joined_whole(_how, _sql)
+    if _how != "inner":
+        _joined_lines(_how, _sql)
+for _strategy in ("hash", "merge", "broadcast"):
+    _joined_whole("inner", "INNER", _strategy)
+
+
 @query("SELECT r_name, n_name FROM region CROSS JOIN nation")
 def join_cross(t: Tables) -> DataFrame:
     return jn.join(t.scan("region", ["r_name"]), t.scan("nation", ["n_name"]), how="cross")

@@ -45,3 +45,18 @@ def test_plans_push_down_and_prune(spark):
     plan = queries()["scan_eq_pushdown"](spark, SF)._jdf.queryExecution().toString()
     assert "EqualTo(o_orderstatus,F)" in plan and "o_clerk" not in plan.split("ReadSchema")[-1]
     assert "TakeOrderedAndProject" in queries()["topk"](spark, SF)._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("kind", ["inner", "left", "right", "full", "hash", "merge", "broadcast"])
+def test_joins_of_whole_tables(kind, spark):
+    customers, orders = spark.read.parquet(f"{SF}/customer.parquet"), spark.read.parquet(f"{SF}/orders.parquet")
+    got = queries()[f"join_{kind}_whole"](spark, SF)
+    assert got.where("o_orderkey IS NOT NULL").count() == orders.count()
+    assert got.select("c_custkey").distinct().count() == customers.count()
+
+
+@pytest.mark.parametrize("kind", ["left", "right", "full"])
+def test_outer_joins_have_unmatched_rows(kind, spark):
+    got = queries()[f"join_{kind}_lines"](spark, SF)
+    assert got.select("o_orderkey").distinct().count() == spark.read.parquet(f"{SF}/orders.parquet").count()
+    assert got.where("l_linenumber IS NULL").count() > 0
