@@ -307,6 +307,11 @@ def sort_nulls(t: Tables) -> DataFrame:
     return rel.page(rel.sort(t.scan("nation").selectExpr("nullif(n_regionkey, 2) AS k", "n_nationkey"), "-k", "n_nationkey"), 8)
 
 
+@query("SELECT k, n_nationkey FROM (SELECT NULLIF(n_regionkey, 2) AS k, n_nationkey FROM nation) ORDER BY k DESC NULLS FIRST, n_nationkey ASC NULLS LAST")
+def sort_nulls_whole(t: Tables) -> DataFrame:
+    return rel.sort(t.scan("nation").selectExpr("nullif(n_regionkey, 2) AS k", "n_nationkey"), "-k", "n_nationkey")
+
+
 @query("SELECT n_nationkey FROM nation ORDER BY n_nationkey ASC NULLS LAST LIMIT 5")
 def limit(t: Tables) -> DataFrame:
     return rel.page(rel.sort(t.scan("nation", ["n_nationkey"]), "n_nationkey"), 5)
@@ -341,6 +346,12 @@ def _sets() -> None:
             run.__name__ = name
             query(sql)(run)
 
+            def whole(t: Tables, kind: str = kind, every: bool = every) -> DataFrame:
+                return rel.combine(kind, [t.scan("supplier").selectExpr("s_nationkey AS k"), t.scan("customer").selectExpr("c_nationkey AS k")], every)
+
+            whole.__name__ = f"{name}_whole"
+            query(f"SELECT s_nationkey AS k FROM supplier {kind.upper()}{' ALL' * every} SELECT c_nationkey FROM customer")(whole)
+
 
 _sets()
 
@@ -351,6 +362,12 @@ def setop_chain(t: Tables) -> DataFrame:
     return rel.page(rel.sort(rel.combine("union", parts), "k"), 6)
 
 
+@query("SELECT k FROM (SELECT n_nationkey AS k FROM nation UNION SELECT r_regionkey FROM region UNION SELECT s_nationkey FROM supplier) u ORDER BY k ASC NULLS LAST")
+def setop_chain_whole(t: Tables) -> DataFrame:
+    parts = [t.scan("nation").selectExpr("n_nationkey AS k"), t.scan("region").selectExpr("r_regionkey AS k"), t.scan("supplier").selectExpr("s_nationkey AS k")]
+    return rel.sort(rel.combine("union", parts), "k")
+
+
 # -- functions
 @query("SELECT n_nationkey, UPPER(n_name) AS up, LOWER(n_name) AS low, TRIM('  ' || n_name || ' ') AS trimmed, LENGTH(n_name) AS len FROM nation")
 def fn_upper_lower_trim_length(t: Tables) -> DataFrame:

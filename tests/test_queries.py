@@ -60,3 +60,10 @@ def test_outer_joins_have_unmatched_rows(kind, spark):
     got = queries()[f"join_{kind}_lines"](spark, SF)
     assert got.select("o_orderkey").distinct().count() == spark.read.parquet(f"{SF}/orders.parquet").count()
     assert got.where("l_linenumber IS NULL").count() > 0
+
+
+def test_set_operations_of_whole_tables(spark):
+    n = lambda t: spark.read.parquet(f"{SF}/{t}.parquet").count()
+    assert queries()["union_all_whole"](spark, SF).count() == n("supplier") + n("customer")
+    assert queries()["sort_nulls_whole"](spark, SF).count() == n("nation")
+    assert queries()["setop_chain_whole"](spark, SF).count() == n("nation")  # whose keys hold the others'
