@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
 
-_SCRATCH: list[tuple[SparkSession, str]] = []
+#: Intermediate tables by path.
+_SCRATCH: dict[str, SparkSession] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,31 +35,66 @@ def scratch_root(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Spark's setting that frees the shuffle files of a query once it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet to the shared folder and read it back.
 
-    A lost executor costs nothing then but the tasks that it ran. The folder goes when the session's
-    process ends, or with ``drop_scratch``.
+    A lost executor costs nothing then but the tasks that it ran. The job's shuffle files go when it has
+    ended, as nothing reads them again; the table goes with ``release``, ``drop_scratch`` or the end of
+    the session's process.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/quern-{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _SCRATCH.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_scratch() -> None:
-    """Delete every intermediate table that ``written`` left."""
-    while _SCRATCH:
-        spark, path = _SCRATCH.pop()
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+    _SCRATCH[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quern_path = path
+    return out
+
+
+def as_table(view: DataFrame, table: DataFrame) -> DataFrame:
+    """``view``, a plain reading of ``table``, such that ``release`` of the one deletes the other."""
+    view._quern_path = table._quern_path
+    return view
+
+
+def _delete(path: str | None) -> None:
+    if path and (spark := _SCRATCH.pop(path, None)):
         try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
         except Exception:  # noqa: BLE001  the session is gone, and its cluster cleans up
             return
 
 
+def release(*tables: DataFrame | None) -> None:
+    """Delete intermediate tables that nothing reads any more; other DataFrames are left alone."""
+    for t in tables:
+        _delete(getattr(t, "_quern_path", None))
+
+
+def scratch_mark() -> set[str]:
+    """The intermediate tables there are now, for ``drop_scratch``."""
+    return set(_SCRATCH)
+
+
+def drop_scratch(since: set[str] | None = None, but: DataFrame | None = None) -> None:
+    """Delete the intermediate tables that ``written`` has left (since ``scratch_mark``), except ``but``."""
+    for path in set(_SCRATCH) - (since or set()) - {getattr(but, "_quern_path", None)}:
+        _delete(path)
+
+
 atexit.register(drop_scratch)
 
 

@@ -27,12 +27,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IdFilter, Memo, mix, written
+from .common import IdFilter, Memo, mix, release, written
 from .components import components
-from .regions import links_in_regions, pivot_pairs
+from .regions import Parity, links_in_regions, meet, pivot_pairs, shared
 
 #: Byte table: A-Z to a-z, all else as it is.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -171,7 +171,7 @@ def _rows(found: list[np.ndarray], nodes: list[tuple[int, int]]) -> pa.RecordBat
 
 
 def _payloads(documents: DataFrame, n: int, wanted: IdFilter) -> DataFrame:
-    """node, its set and sketch, of the documents that ``wanted`` lets pass."""
+    """node, the size of its set, its sketch and the set, of the documents that ``wanted`` lets pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(n)
@@ -181,44 +181,29 @@ def _payloads(documents: DataFrame, n: int, wanted: IdFilter) -> DataFrame:
             for lo in range(0, b.num_rows, 500):
                 part = b.slice(lo, 500)
                 sets = [shingles(t.as_py()) for t in part.column(1)]
-                sketches = [np.bincount((s >> np.uint64(64 - 7)).astype(np.int64), minlength=128).tolist() for s in sets]
-                yield pa.record_batch([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(sketches, pa.list_(pa.int32()))], names=["node", "payload", "sketch"])
+                part = part.filter(pa.array([len(s) > 0 for s in sets], pa.bool_()))
+                sets = [s for s in sets if len(s)]
+                columns = [pa.array([len(s) for s in sets], pa.int32()), pa.array([Parity.sketch(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
+                yield pa.record_batch([part.column(0), *columns], names=["node", "size", "sketch", "payload"])
 
-    return documents.mapInArrow(run, "node long, payload binary, sketch array<int>")
-
-
-def _may_link(percent: int):
-    """Two sets differ by at least what their counts by leading bits differ by in sum."""
-
-    def may(a: Column, b: Column) -> Column:
-        differ = F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
-        both = F.aggregate(F.concat(a, b), F.lit(0), lambda s, x: s + x)
-        return differ * (100 + percent) <= both * (100 - percent)
-
-    return may
+    return documents.mapInArrow(run, "node long, size int, sketch binary, payload binary")
 
 
 def _verifier(payloads: DataFrame, percent: int):
-    """(pivot, node) -> (pivot, node, dist, linked), by merging the two sets."""
+    """(a, b) -> (a, b, linked), by merging the two sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            dist, linked = [], []
+            linked = []
             for x, y in zip(b.column(2), b.column(3), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = np.concatenate((x, y))
                 both.sort(kind="stable")
                 same = int((both[1:] == both[:-1]).sum())
-                union = len(both) - same
-                dist.append(1 - same / union)
-                linked.append(100 * same >= percent * union)
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(dist, pa.float64()), pa.array(linked, pa.bool_())], names=["pivot", "node", "dist", "linked"])
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        p = payloads.select(F.col("node").alias("pivot"), F.col("payload").alias("px"))
-        return pairs.join(payloads, "node").join(p, "pivot").select("pivot", "node", "px", "payload").mapInArrow(run, "pivot long, node long, dist double, linked boolean")
+                linked.append(100 * same >= percent * (len(both) - same))
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
-    return verify
+    return lambda pairs: meet(pairs, payloads).mapInArrow(run, "a long, b long, linked boolean")
 
 
 def ngram_links(documents: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
@@ -233,11 +218,15 @@ def ngram_links(documents: DataFrame, n: int = 5, percent: int = 80) -> tuple[Da
     slots = np.array(sorted(r["h1"] for r in common.select("h1").collect()), np.int64)
     some = sets.where("n_shingles > 0 and doc_id is not null")
     copies = some.join(some.groupBy("h1", "h2").agg(F.min("doc_id").alias("b")), ["h1", "h2"]).where("doc_id != b").select(F.col("doc_id").alias("a"), "b")
-    pairs = written(pivot_pairs(_buckets(docs, n, percent, slots)), "pairs")
-    nodes = written(pairs.select("pivot").union(pairs.select("node")).distinct().withColumnRenamed("pivot", "node"), "nodes")
-    payloads = _payloads(docs, n, IdFilter(nodes)).join(nodes, "node", "left_semi").where(F.length("payload") > 0).groupBy("node").agg(F.max(F.struct("payload", "sketch")).alias("m")).select("node", "m.*")
+    buckets = written(shared(_buckets(docs, n, percent, slots)), "buckets")
+    nodes = written(buckets.select("node").distinct(), "nodes")
+    payloads = _payloads(docs, n, IdFilter(nodes))
+    if not some.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():  # one text for each id, the same on each run
+        payloads = payloads.groupBy("node").agg(F.max(F.struct("payload", "sketch", "size")).alias("m")).select("node", "m.size", "m.sketch", "m.payload")
     payloads = written(payloads, "payloads")
-    return sets, copies.union(links_in_regions(pairs, _verifier(payloads.select("node", "payload"), percent), 1 - percent / 100, payloads.select("node", "sketch"), _may_link(percent)))
+    pairs = written(pivot_pairs(buckets), "pairs")
+    release(buckets, nodes)
+    return sets, copies.union(links_in_regions(pairs, payloads.select("node", "size", "sketch"), Parity(percent), _verifier(payloads.select("node", "payload"), percent)))
 
 
 def ngram_components(documents: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -249,10 +238,12 @@ def ngram_components(documents: DataFrame, n: int = 5, percent: int = 80) -> Dat
 
 def keep_one(documents: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The documents that stand for their group, the smallest doc_id of each component; of rows that
-    repeat a doc_id one stays. Rows with a null doc_id stay as they are."""
+    repeat a doc_id and its text one stays. Rows with a null doc_id stay as they are."""
     links = ngram_links(documents, n, percent)[1]
     gone = components(links).where("node != component").select(F.col("node").alias("doc_id"))
     kept = documents.join(gone, "doc_id", "left_anti")
-    twice = documents.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
-    once = kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    twice = written(documents.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id"), "twice")
+    if twice.isEmpty():
+        return kept
+    once = kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.join(twice, "doc_id", "left_anti").unionByName(once)

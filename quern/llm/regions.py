@@ -1,96 +1,343 @@
 """Exact links between items of a metric space that meet in buckets, by pivot regions.
 
-Buckets come from an exact filter: two items that link meet in at least one. The smallest item of a
-bucket is its pivot, and all buckets with the same pivot form its region. Members within the radius of
-the pivot are linked to it, which connects them all without looking at their pairs. Only the others,
-the open ones, need more: new pivots among them divide the region into cells; a cell takes with it the
-members that the triangle inequality lets reach its open items, those at the border thus being copied
-into several cells; and the cells are treated in the same way until nothing is open.
+Buckets come from an exact filter: two items that link meet in at least one. A bucket's pivot is the
+member that shares most buckets with others, so the middle of a group of near copies rather than one of
+its members; all buckets with the same pivot form its region. Each item has a sketch, and the distance of
+two sketches is a metric that is never above the number of differences of the items themselves. So the
+triangle inequality over sketches gives exact windows, while whole items move only to be verified.
+
+First each item is verified against the nearest pivot that it may link with. Members with the pivot's
+label are settled among each other then; the others are open, and a region in which all labels agree is
+done. What an open item can reach lies in a window of distances to the pivot; the rest of the region goes.
+A region small enough for one task is joined there: candidate pairs are those whose sketches may link and
+whose labels differ, and of these a spanning forest by increasing distance goes to verification. Where a
+pair of the forest fails, the region comes again with that pair barred, and with twice as many forests
+as before. A larger region is divided: new pivots among its open items make Voronoi cells, an open item
+moves into the cell of its nearest pivot, and members that an open item of another cell may reach are
+copied across the border. Cells are regions like any other; where division no longer helps, a region is
+dealt out as a grid of blocks of open items and of members.
 
 The links that come out have the same connected components as all links there are: a pair is left out
-only where known links connect both sides, or where the triangle inequality or a sketch rules it out.
+only where known links connect both sides, or where sketches rule it out. No group is expanded into all
+its pairs: a region sends fewer pairs to verification in each forest than it has members.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import release, written
 from .components import components
 
-#: New pivots of a region in one round.
-PIVOTS = 1024
-#: Slack for floating point in window comparisons; it only adds comparisons.
-EPS = 1e-9
+#: A region is joined in one task up to so many pairs of an open item and a member, and bytes of sketches.
+AREA, BYTES = 1 << 22, 1 << 26
+#: New pivots of a larger region, and how often regions are divided by pivots before they become grids.
+PIVOTS, DEPTH = 16, 4
 
 Verify = Callable[[DataFrame], DataFrame]
 
 
+class Metric:
+    """Distances between sketches (bytes), and the largest that two items which link can have."""
+
+    def matrix(self, sketches: list[bytes]) -> np.ndarray:
+        """The sketches as rows of one array."""
+        raise NotImplementedError
+
+    def row(self, matrix: np.ndarray, one: np.ndarray) -> np.ndarray:
+        """The distance of each row to ``one``."""
+        raise NotImplementedError
+
+    def most(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """By the sizes of two items."""
+        raise NotImplementedError
+
+
+class Parity(Metric):
+    """Sketches of sets: a bit for each slot of a power-of-two number of slots, the parity of its elements.
+    An element in which two sets differ flips one bit, so they differ in at most as many bits. The half of
+    a sketch added to its other half is the sketch for half as many slots."""
+
+    def __init__(self, percent: int):
+        self.percent = percent
+
+    @staticmethod
+    def sketch(hashes: np.ndarray) -> bytes:
+        slots = max(64, 1 << (4 * len(hashes) - 1).bit_length())
+        odd = np.bincount((hashes & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1
+        return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+    def matrix(self, sketches: list[bytes]) -> np.ndarray:
+        words = min(map(len, sketches)) // 8
+        rows = []
+        for s in sketches:
+            x = np.frombuffer(s, np.uint64)
+            while len(x) > words:
+                x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+            rows.append(x)
+        return np.stack(rows)
+
+    def row(self, matrix: np.ndarray, one: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(matrix ^ one).sum(axis=1, dtype=np.int32)
+
+    def most(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (a + b) * (100 - self.percent) // (100 + self.percent)
+
+
+class Counts(Metric):
+    """Sketches of strings: how many characters fall into each of 64 classes, 255 at most. An edit changes
+    two of the counts by one at most."""
+
+    def __init__(self, allowed: Callable[[np.ndarray], np.ndarray]):
+        self.allowed = allowed
+
+    @staticmethod
+    def sketch(points: np.ndarray) -> bytes:
+        return np.minimum(np.bincount(points & 63, minlength=64), 255).astype(np.uint8).tobytes()
+
+    def matrix(self, sketches: list[bytes]) -> np.ndarray:
+        return np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), -1).astype(np.int16)
+
+    def row(self, matrix: np.ndarray, one: np.ndarray) -> np.ndarray:
+        return np.abs(matrix - one).sum(axis=1, dtype=np.int32)
+
+    def most(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return 2 * self.allowed(np.minimum(a, b))
+
+
+def shared(buckets: DataFrame) -> DataFrame:
+    """The rows (key, node, ...) of buckets with two rows or more, by a window that looks one row ahead and
+    one back, so its memory doesn't depend on a bucket's size."""
+    by = Window.partitionBy("key").orderBy("node")
+    beside = F.lag("node").over(by).isNotNull() | F.lead("node").over(by).isNotNull()
+    return buckets.withColumn("_beside", beside).where("_beside").drop("_beside")
+
+
 def pivot_pairs(buckets: DataFrame, seed: str | None = None) -> DataFrame:
-    """(pivot, node) of all buckets, each once. ``seed`` names a boolean column; only rows that have it
-    may be pivots, and a bucket without them has no pairs.
+    """(pivot, node) of all buckets (key, node), each once. ``seed`` names a boolean column; only rows that
+    have it may be pivots, and a bucket without them has no pairs.
 
-    The window runs from the bucket's first row, so its memory doesn't depend on the bucket's size.
+    The pivot is the row of the node with the most buckets, a maximum that is combined before the shuffle.
     """
-    order = ([F.col(seed).desc()] if seed else []) + ["node"]
-    first = F.first("node").over(Window.partitionBy("key").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    led = F.first(seed).over(Window.partitionBy("key").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)) if seed else F.lit(True)
-    pairs = buckets.select("node", first.alias("pivot"), led.alias("led")).where(F.col("led") & (F.col("pivot") != F.col("node")))
-    return pairs.select("pivot", "node").distinct()
+    votes = buckets.groupBy("node").agg(F.count("*").alias("votes"))
+    led = buckets.where(seed) if seed else buckets
+    lead = led.join(votes, "node").groupBy("key").agg(F.max(F.struct("votes", "node")).alias("m")).select("key", F.col("m.node").alias("pivot"))
+    return buckets.select("key", "node").join(lead, "key").where(F.col("pivot") != F.col("node")).select("pivot", "node").distinct()
+
+
+def meet(pairs: DataFrame, payloads: DataFrame) -> DataFrame:
+    """(a, b) with their payloads px and py. Payloads that no pair needs stay out, so that a few pairs
+    don't move them all."""
+    ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    needed = payloads.join(ids, "node", "left_semi")
+    a, b = (needed.select(F.col("node").alias(x), F.col("payload").alias(y)) for x, y in (("a", "px"), ("b", "py")))
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "px", "py")
 
 
-def links_in_regions(pairs: DataFrame, verify: Verify, radius: float, sketches: DataFrame, may_link: Callable[[Column, Column], Column]) -> DataFrame:
+def links_in_regions(pairs: DataFrame, items: DataFrame, metric: Metric, verify: Verify) -> DataFrame:
     """(a, b) links that connect what all links connect.
 
-    ``pairs`` has (pivot, node). ``verify`` takes (pivot, node) and adds ``dist`` and ``linked``; dist may
-    be capped at any value of twice the radius or more. ``sketches`` has (node, sketch), and ``may_link``
-    tells from two sketches that a pair can't link; where a region ends with this round, such pairs are
-    not compared.
+    ``pairs`` has (pivot, node), ``items`` (node, size, sketch) of each of them. ``verify`` takes (a, b)
+    and gives (a, b, linked).
     """
-    found = written(verify(pairs), "verified")
-    links = [found.where("linked").select(F.col("pivot").alias("a"), F.col("node").alias("b"))]
-    region = found.select(F.col("pivot").alias("region"), "node", F.col("dist").alias("d"), (~F.col("linked")).alias("open"))
+    kind = items.schema["node"].dataType.simpleString()
+    star = written(_star(pairs, items, metric, kind), "star")
+    nearest = star.where("may").groupBy("node").agg(F.min(F.struct("d", "pivot")).alias("m")).select(F.col("m.pivot").alias("a"), F.col("node").alias("b"))
+    nearest = nearest.select(F.hex("a").alias("region"), F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    nearest = written(nearest, "nearest")
+    found = written(verify(nearest.select("a", "b").distinct()), "verified")
+    links = [found.where("linked").select("a", "b")]
+    failed = nearest.join(found.where(~F.col("linked")), ["a", "b"]).select("region", "a", "b")
+    labels = components(_all(links))
+    lead = labels.select(F.col("node").alias("pivot"), F.col("component").alias("lead"))
+    named = _labelled(star, labels).join(lead, "pivot", "left").withColumn("lead", F.coalesce("lead", "pivot"))
+    fresh = named.select(F.hex("pivot").alias("region"), F.lit(0).alias("depth"), "node", "d", "reach", "bytes", (F.col("label") != F.col("lead")).alias("open"))
+    # the pivot is a member too
+    fresh = fresh.union(star.groupBy("pivot").agg(F.max("reach").alias("reach"), F.max("bytes").alias("bytes")).select(F.hex("pivot"), F.lit(0), "pivot", F.lit(0), "reach", "bytes", F.lit(False)))
+    waiting, trees, held = None, 1, star
     while True:
-        busy = region.where("open").select("region").distinct()
-        region = written(region.join(busy, "region", "left_semi"), "region")
-        if region.isEmpty():
-            break
-        within = Window.partitionBy("region")
-        opened = region.where("open").withColumn("nth", F.row_number().over(within.orderBy("node"))).withColumn("n", F.count("*").over(within))
-        # where open items are left over, a new pivot also measures what only they may reach
-        reach = F.when(F.col("n") > PIVOTS, 2.0 * radius).otherwise(float(radius))
-        chosen = written(opened.where(F.col("nth") <= PIVOTS).select("region", F.col("node").alias("pivot"), F.col("d").alias("pd"), reach.alias("reach")), "chosen")
-        # pairs that known links connect already need no look
-        labels = components(_all(links))
-        known = sketches.join(labels, "node", "left").select("node", "sketch", F.coalesce("component", "node").alias("label"))
-        mine = known.select(F.col("node").alias("pivot"), F.col("sketch").alias("ps"), F.col("label").alias("pl"))
-        apart = F.abs(F.col("d") - F.col("pd"))
-        near = region.join(known, "node").join(chosen.join(mine, "pivot"), "region")
-        near = near.where((F.col("node") != F.col("pivot")) & (apart <= F.col("reach") + EPS) & ((F.col("reach") > radius) | ((F.col("label") != F.col("pl")) & may_link(F.col("sketch"), F.col("ps")))))
-        near = written(near.select("region", "pivot", "node", "open", (apart <= radius + EPS).alias("inner")), "near")
-        ends = [F.least("pivot", "node").alias("pivot"), F.greatest("pivot", "node").alias("node")]
-        found = written(verify(near.select(*ends).distinct()), "verified")
-        links.append(found.where("linked").select(F.col("pivot").alias("a"), F.col("node").alias("b")))
-        known = near.select("region", "open", "inner", F.col("pivot").alias("p"), F.col("node").alias("n"), *ends).join(found, ["pivot", "node"]).select("region", "open", "inner", F.col("p").alias("pivot"), F.col("n").alias("node"), "dist")
-        used = chosen.select("region", F.col("pivot").alias("node"))
-        known = written(known.join(used.withColumn("was", F.lit(True)), ["region", "node"], "left").withColumn("open", F.col("open") & F.col("was").isNull()).drop("was"), "known")
-        # an open item moves into the cell of its nearest new pivot, if the pivot's window holds all that it can reach
-        cell = known.where(F.col("open") & F.col("inner")).groupBy("region", "node").agg(F.min(F.struct("dist", "pivot")).alias("m")).select("region", "node", F.col("m.pivot").alias("pivot"))
-        moved = known.join(cell.withColumn("moves", F.lit(True)), ["region", "node", "pivot"], "left").withColumn("moves", F.col("moves").isNotNull())
-        reach = moved.where("moves").groupBy("region", "pivot").agg(F.min("dist").alias("lo"), F.max("dist").alias("hi"))
-        cells = moved.join(reach, ["region", "pivot"]).where((F.col("dist") >= F.col("lo") - radius - EPS) & (F.col("dist") <= F.col("hi") + radius + EPS))
-        cells = cells.groupBy(F.col("pivot").alias("region"), "node").agg(F.first("dist").alias("d"), F.max("moves").alias("open"))
-        # the others stay open where they are, for the next pivots
-        gone = used.union(cell.select("region", "node")).withColumn("gone", F.lit(True))
-        stay = region.join(gone, ["region", "node"], "left").withColumn("open", F.col("open") & F.col("gone").isNull()).select("region", "node", "d", "open")
-        # cells of one pivot that came from several regions are one region; a pivot is never again a region of its own before
-        region = written(stay.join(stay.where("open").select("region").distinct(), "region", "left_semi").union(cells.select("region", "node", "d", "open")).groupBy("region", "node").agg(F.min("d").alias("d"), F.max("open").alias("open")), "region")
-    return _all(links)
+        if fresh is not None:
+            ready = written(_pruned(fresh, labels), "regions")
+            release(held)
+            held = None
+            small = ready.where(F.col("small")).select("region", "node", "open")
+            waiting = small if waiting is None else waiting.union(small)
+            large = ready.where(~F.col("small"))
+            fresh = held = None if large.isEmpty() else written(_divided(large, items, metric, kind), "cells")
+        rows = _labelled(waiting, labels).join(items, "node")
+        edges = written(_forests(rows, failed, metric, trees, kind), "edges")
+        if edges.isEmpty():
+            waiting = None
+        else:
+            found = written(verify(edges.select("a", "b").distinct()), "verified")
+            links.append(found.where("linked").select("a", "b"))
+            release(labels)
+            labels = components(_all(links))
+            bad = written(edges.join(found.where(~F.col("linked")), ["a", "b"]).select("region", "a", "b"), "failed")
+            failed = failed.union(bad)
+            waiting = None if bad.isEmpty() else written(waiting.join(bad.select("region").distinct(), "region", "left_semi"), "waiting")
+            trees *= 2
+        release(edges)
+        if waiting is None:
+            if fresh is None:
+                release(labels)
+                return _all(links)
+            trees = 1
 
 
 def _all(links: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.union, links)
+
+
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    return rows.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+
+
+def _star(pairs: DataFrame, items: DataFrame, metric: Metric, kind: str) -> DataFrame:
+    """pivot, node, the distance d of their sketches, may (they may link), reach (the most that members
+    which link can be apart) and the bytes of the sketch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pivots, nodes = b.column(4).to_pylist(), b.column(5).to_pylist()
+            d = np.fromiter((metric.row(m[1:], m[0])[0] for m in map(metric.matrix, zip(pivots, nodes, strict=True))), np.int32, len(nodes))
+            x, y = (b.column(i).to_numpy().astype(np.int64) for i in (2, 3))
+            top = np.maximum(x, y)
+            columns = [pa.array(d), pa.array(d <= metric.most(x, y)), pa.array(metric.most(top, top).astype(np.int32)), pa.array([len(s) for s in nodes], pa.int32())]
+            yield pa.record_batch([b.column(0), b.column(1), *columns], names=["pivot", "node", "d", "may", "reach", "bytes"])
+
+    side = lambda name: items.select(F.col("node").alias(name), F.col("size").alias(f"{name}_size"), F.col("sketch").alias(f"{name}_sketch"))
+    both = pairs.join(side("node"), "node").join(side("pivot"), "pivot").select("pivot", "node", "pivot_size", "node_size", "pivot_sketch", "node_sketch")
+    return both.mapInArrow(run, f"pivot {kind}, node {kind}, d int, may boolean, reach int, bytes int")
+
+
+def _pruned(regions: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of regions that are not done: open items, and the members that one of them may reach. small
+    tells whether a task can join the region."""
+    named = _labelled(regions, labels)
+    differ = named.groupBy("region").agg(F.min("label").alias("first"), F.max("label").alias("last"), F.min(F.when(F.col("open"), F.col("d"))).alias("lo"), F.max(F.when(F.col("open"), F.col("d"))).alias("hi"), F.max("reach").alias("most"))
+    differ = differ.where((F.col("first") != F.col("last")) & F.col("lo").isNotNull()).select("region", "lo", "hi", "most")
+    near = named.join(differ, "region").where(F.col("open") | ((F.col("d") >= F.col("lo") - F.col("most")) & (F.col("d") <= F.col("hi") + F.col("most"))))
+    near = written(near.select("region", "depth", "node", "d", "reach", "bytes", "open", "most"), "near")
+    sums = near.groupBy("region").agg(F.count("*").alias("n"), F.sum(F.col("open").cast("long")).alias("n_open"), F.sum("bytes").alias("total"))
+    small = (F.col("depth") > DEPTH) | ((F.col("n") * F.col("n_open") <= AREA) & (F.col("total") <= BYTES))
+    return near.join(sums, "region").where("n > 1").withColumn("small", small)
+
+
+def _divided(regions: DataFrame, items: DataFrame, metric: Metric, kind: str) -> DataFrame:
+    """The rows of the cells of regions that no task can join alone."""
+    by = Window.partitionBy("region").orderBy(F.xxhash64("node", "depth"), "node")
+    chosen = regions.where((F.col("depth") < DEPTH) & F.col("open")).withColumn("nth", F.row_number().over(by)).where(F.col("nth") <= PIVOTS)
+    # PIVOTS sketches a region, each bounded by a document
+    pivots = chosen.join(items, "node").groupBy("region").agg(F.sort_array(F.collect_list(F.struct("nth", "node", "sketch"))).alias("pivots"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for sketch, pivots in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                m = metric.matrix([sketch, *(p["sketch"] for p in pivots)])
+                out.append(metric.row(m[1:], m[0]).tolist())
+            yield pa.record_batch([b.column(0), pa.array(out, pa.list_(pa.int32()))], names=["row", "far"])
+
+    members = regions.where(F.col("depth") < DEPTH).join(items.select("node", "sketch"), "node").join(pivots, "region")
+    row = F.struct("region", "depth", "node", "reach", "bytes", "open", "most", F.transform("pivots", lambda p: p["node"]).alias("at"))
+    kept = f"struct<region:string,depth:int,node:{kind},reach:int,bytes:int,open:boolean,most:int,at:array<{kind}>>"
+    far = written(members.select(row.alias("row"), "sketch", "pivots").mapInArrow(run, f"row {kept}, far array<int>").select("row.*", "far"), "far")
+    far = far.withColumn("low", F.array_min("far")).withColumn("home", F.array_position("far", F.array_min("far")) - 1)
+    # how far the open items of a cell reach from its pivot
+    wide = far.where("open").groupBy("region", "home").agg(F.max("low").alias("hi")).groupBy("region").agg(F.map_from_entries(F.collect_list(F.struct("home", "hi"))).alias("wide"))
+    cells = F.filter(
+        F.transform("far", lambda d, i: F.struct(F.element_at("at", i + 1).alias("pivot"), d.alias("d"), (F.col("open") & (F.col("home") == i)).alias("open"), F.element_at("wide", i.cast("long")).alias("hi"))),
+        lambda c: c["open"] | ((c["d"] <= F.col("low") + 2 * F.col("most")) & (c["d"] <= c["hi"] + F.col("most"))),
+    )
+    split = far.join(wide, "region").select("region", "depth", "node", "reach", "bytes", F.explode(cells).alias("c"))
+    split = split.select(F.concat_ws(".", "region", F.hex("c.pivot")).alias("region"), (F.col("depth") + 1).alias("depth"), "node", F.col("c.d").alias("d"), "reach", "bytes", F.col("c.open").alias("open"))
+    # the grid: blocks of open items by blocks of members
+    side = int(AREA**0.5)
+    last = regions.where(F.col("depth") >= DEPTH)
+    parts = lambda n: F.greatest(F.ceil(F.col(n) / side), F.ceil(F.col("total") / (BYTES // 4))).cast("int")
+    part = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "node"), parts(n)).cast("int")
+    name = lambda i, j: F.concat(F.col("region"), F.lit("#"), i, F.lit(","), j)
+    columns = lambda is_open: [F.lit(DEPTH + 1).alias("depth"), "node", F.lit(0).alias("d"), "reach", "bytes", F.lit(is_open).alias("open")]
+    across = lambda n: F.explode(F.sequence(F.lit(0), parts(n) - 1))
+    rows = last.where("open").select("*", across("n").alias("j")).select(name(part(1, "n_open"), F.col("j")).alias("region"), *columns(True))
+    cols = last.select("*", across("n_open").alias("i")).select(name(F.col("i"), part(2, "n")).alias("region"), *columns(False))
+    grid = rows.union(cols).groupBy("region", "depth", "node").agg(F.max("d").alias("d"), F.max("reach").alias("reach"), F.max("bytes").alias("bytes"), F.max("open").alias("open"))
+    return split.union(grid)
+
+
+def _forests(rows: DataFrame, failed: DataFrame, metric: Metric, trees: int, kind: str) -> DataFrame:
+    """region, a, b: for each region, spanning forests of the pairs that may link."""
+    schema = f"region string, a {kind}, b {kind}"
+
+    def join(region: pd.DataFrame, barred: set) -> pd.DataFrame:
+        region = region.sort_values("node", ignore_index=True)
+        node, is_open = region["node"].tolist(), region["open"].to_numpy(bool)
+        label = pd.factorize(region["label"])[0]
+        size = region["size"].to_numpy(np.int64)
+        matrix = metric.matrix(region["sketch"].tolist())
+        left, right, dist = [], [], []
+        for i in np.flatnonzero(is_open).tolist():
+            d = metric.row(matrix, matrix[i])
+            ok = (d <= metric.most(size[i], size)) & (label != label[i])
+            ok[:i] &= ~is_open[:i]  # a pair of open items counts once
+            at = np.flatnonzero(ok)
+            if barred:
+                at = at[[(node[min(i, j)], node[max(i, j)]) not in barred for j in at.tolist()]] if len(at) else at
+            left.append(np.full(len(at), i, np.int32))
+            right.append(at.astype(np.int32))
+            dist.append(d[at])
+        pairs = forests(label, *(np.concatenate(x) if x else np.zeros(0, np.int32) for x in (left, right, dist)), trees)
+        found = [(min(node[i], node[j]), max(node[i], node[j])) for i, j in pairs]
+        return pd.DataFrame({"region": [region["region"][0]] * len(found), "a": [a for a, _ in found], "b": [b for _, b in found]}, dtype=object)
+
+    rows = rows.select("region", "node", "open", "label", "size", "sketch")
+    none = pd.DataFrame({"region": [], "a": [], "b": []}, dtype=object)
+    return rows.groupBy("region").cogroup(failed.groupBy("region")).applyInPandas(lambda r, f: join(r, set(zip(f["a"], f["b"], strict=True))) if len(r) else none, schema)
+
+
+def forests(label: np.ndarray, left: np.ndarray, right: np.ndarray, dist: np.ndarray, trees: int) -> list[tuple[int, int]]:
+    """Pairs of ``trees`` spanning forests without a common pair, each by increasing distance, of the graph
+    of these pairs over labels: every label takes its shortest pair, and labels that meet become one."""
+    order = np.argsort(dist, kind="stable")
+    left, right = left[order], right[order]
+    out: list[tuple[int, int]] = []
+    for _ in range(trees):
+        if not len(left):
+            break
+        of, used = label.astype(np.int64), np.zeros(len(left), bool)
+        rest = np.arange(len(left))
+        while len(rest := rest[of[left[rest]] != of[right[rest]]]):
+            ends = np.concatenate((of[left[rest]], of[right[rest]]))
+            at = np.tile(np.arange(len(rest)), 2)
+            by = np.lexsort((at, ends))
+            first = np.unique(at[by][np.concatenate(([True], ends[by][1:] != ends[by][:-1]))])  # of each label
+            parent: dict[int, int] = {}
+
+            def find(x: int, parent: dict[int, int] = parent) -> int:
+                while (up := parent.get(x, x)) != x:
+                    parent[x] = parent.get(up, up)
+                    x = up
+                return x
+
+            for k in first.tolist():
+                e = rest[k]
+                a, b = find(int(of[left[e]])), find(int(of[right[e]]))
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+                    used[e] = True
+            roots = np.arange(int(of.max()) + 1)
+            for x in list(parent):
+                roots[x] = find(x)
+            of = roots[of]
+        out += list(zip(left[used].tolist(), right[used].tolist(), strict=True))
+        left, right = left[~used], right[~used]
+    return out
+

@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quern.llm import line_dedup, ngram_join, regions
+from quern.llm.common import written as module_written
 from quern.llm.components import components
 
 from . import brute
@@ -125,23 +126,97 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_regions_recurse_exactly(spark, monkeypatch):
-    """One bucket of points on a line, so that many rounds of pivots are needed."""
+def test_a_long_chain_in_random_order_settles_in_few_rounds(spark, monkeypatch):
+    from quern.llm import components as module
+
+    rounds = []
+    monkeypatch.setattr(module, "written", lambda df, what: rounds.append(what) or module_written(df, what))
+    order = list(range(20_000))
+    random.Random(1).shuffle(order)
+    found = components(spark.createDataFrame(list(zip(order, order[1:], strict=False)), "a long, b long"))
+    assert found.count() == 20_000 and found.select("component").distinct().count() == 1
+    assert len(rounds) < 2 + 2 * 24
+
+
+def points_on_a_line():
+    """Points on a line, as eight bytes each; two link up to 12 apart."""
+    import numpy as np
+
+    class Line(regions.Metric):
+        def matrix(self, sketches):
+            return np.frombuffer(b"".join(sketches), np.int64)[:, None]
+
+        def row(self, matrix, one):
+            return np.abs(matrix - one).sum(axis=1).astype(np.int32)
+
+        def most(self, a, b):
+            return 0 * (a + b) + 12
+
+    return Line()
+
+
+@pytest.mark.parametrize(("area", "depth", "fails"), [(1 << 22, 4, 0), (300, 4, 0), (300, 4, 3), (60, 0, 0), (60, 1, 5)])
+def test_regions_recurse_exactly(spark, monkeypatch, area, depth, fails):
+    """One bucket of points on a line, joined in one task, by cells and by a grid; and with pairs near the
+    bound that sketches let pass and verification rejects."""
     from pyspark.sql import functions as F
 
-    monkeypatch.setattr(regions, "PIVOTS", 2)
+    monkeypatch.setattr(regions, "AREA", area)
+    monkeypatch.setattr(regions, "DEPTH", depth)
+    monkeypatch.setattr(regions, "PIVOTS", 3)
     rng = random.Random(2)
-    points = sorted(rng.sample(range(1000), 60))
+    points = sorted(rng.sample(range(1200), 80))
     rng.shuffle(points)
-    place = spark.createDataFrame([(i, float(x)) for i, x in enumerate(points)], "node long, x double")
+    rows = [(i, 1, bytearray(int(x).to_bytes(8, "little"))) for i, x in enumerate(points)]
+    items = spark.createDataFrame(rows, "node long, size int, sketch binary")
+    place = spark.createDataFrame(list(enumerate(points)), "node long, x long")
+    asked = []
 
     def verify(pairs):
-        p = place.select(F.col("node").alias("pivot"), F.col("x").alias("px"))
-        d = F.abs(F.col("x") - F.col("px"))
-        return pairs.join(place, "node").join(p, "pivot").select("pivot", "node", d.alias("dist"), (d <= 12).alias("linked"))
+        asked.append(pairs.count())
+        a, b = (place.select(F.col("node").alias(n), F.col("x").alias(f"{n}x")) for n in "ab")
+        return pairs.join(a, "a").join(b, "b").select("a", "b", (F.abs(F.col("ax") - F.col("bx")) <= 12 - fails).alias("linked"))
 
-    pairs = regions.pivot_pairs(place.select(F.lit(1).alias("key"), "node"))
-    links = regions.links_in_regions(pairs, verify, 12, place.select("node", F.col("x").alias("sketch")), lambda a, b: F.abs(a - b) <= 12)
+    pairs = regions.pivot_pairs(regions.shared(place.select(F.lit(1).alias("key"), "node")))
+    assert pairs.count() == 79
+    links = regions.links_in_regions(pairs, items, points_on_a_line(), verify)
     got = {r.node: r.component for r in components(links).collect()}
-    want = brute.groups(range(60), lambda a, b: abs(points[a] - points[b]) <= 12)
-    assert {k: got.get(k, k) for k in range(60)} == want
+    want = brute.groups(range(80), lambda a, b: abs(points[a] - points[b]) <= 12 - fails)
+    assert {k: got.get(k, k) for k in range(80)} == want
+    assert sum(asked) < 8 * 80
+
+
+def test_forests_span_and_do_not_repeat():
+    import numpy as np
+
+    rng = random.Random(8)
+    for _ in range(50):
+        n = rng.randint(2, 12)
+        pairs = [(i, j) for i in range(n) for j in range(i + 1, n) if rng.random() < 0.6]
+        if not pairs:
+            continue
+        left, right = (np.array(x) for x in zip(*pairs, strict=True))
+        dist, label = np.array([rng.randint(0, 3) for _ in pairs]), np.arange(n)
+        one = regions.forests(label, left, right, dist, 1)
+        two = regions.forests(label, left, right, dist, 2)
+        assert len(set(two)) == len(two) and set(one) <= set(two) <= set(pairs) and len(one) < n
+        joined = lambda edges: brute.groups(range(n), lambda a, b: (a, b) in edges)
+        assert joined(set(one)) == joined(set(pairs))
+
+
+def test_sketches_never_exceed_the_difference():
+    import numpy as np
+
+    rng = random.Random(9)
+    parity, counts = regions.Parity(80), regions.Counts(lambda x: x)
+    for _ in range(300):
+        a = {rng.getrandbits(64) for _ in range(rng.randint(1, 300))}
+        b = set(list(a)[: rng.randint(1, len(a))]) | {rng.getrandbits(64) for _ in range(rng.randint(0, 60))}
+        m = parity.matrix([regions.Parity.sketch(np.array(sorted(x), np.uint64)) for x in (a, b)])
+        assert parity.row(m, m[0])[1] <= len(a ^ b)
+        if 100 * len(a & b) >= 80 * len(a | b):
+            assert len(a ^ b) <= parity.most(np.int64(len(a)), np.int64(len(b)))
+        x = "".join(rng.choice("abcdef ") for _ in range(rng.randint(1, 30)))
+        y = "".join(c for c in x if rng.random() < 0.8) + "z" * rng.randint(0, 3)
+        m = counts.matrix([regions.Counts.sketch(np.array([ord(c) for c in s], np.int64)) for s in (x, y)])
+        assert counts.row(m, m[0])[1] <= 2 * brute.edit_distance(x, y)
