@@ -1,12 +1,13 @@
 """Exact top-k inner-product search by the threshold algorithm over sorted per-dimension lists.
 
-Vectors become integers, floor(scale * x), so scores are exact. Candidates are dealt into blocks and
-queries into blocks; a task holds one block of each. A candidate block keeps, for each dimension, its
-candidates sorted by that component. A query walks the lists of all dimensions in step, from the end
-that its own component favours, and scores each candidate it meets in full; no candidate that it hasn't
-met can score above the sum over dimensions of query component times the list's value at the depth
-reached, so it stops once that bound lies below its kth score (at equality it goes on, as ties go to the
-smaller id). The k best of each block then meet in one more top-k for each query.
+Vectors become integers, floor(scale * x), so scores are exact. Each task deals its candidates into
+blocks. A block keeps, for each dimension, its candidates sorted by that component. A query walks the
+lists of all dimensions in step, from the end that its own component favours, and scores each candidate
+it meets in full; no candidate that it hasn't met can score above the sum over dimensions of query
+component times the list's value at the depth reached, so it stops once that bound lies below its kth
+score (at equality it goes on, as ties go to the smaller id). The k best of each block then meet in one
+more top-k for each query. Candidates are never shuffled or copied; each chunk of queries is one pass
+over them.
 
 Edge cases: vectors that are null, empty or hold null or non-finite components take no part, as query or
 as candidate; nor do rows without an id. A query meets only candidates of its own dimension. Rows that
@@ -17,13 +18,18 @@ result. Scores beyond a 64-bit integer stop at its limits. Other columns are ign
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a candidate block and of a query block; memory of a task is bounded by these.
-CANDIDATES, QUERIES = 16_384, 2_048
+from .common import written
+
+#: Rows of a candidate block and of a chunk of queries; memory of a task is bounded by these.
+CANDIDATES, QUERIES = 65_536, 32_768
 
 
 class Block:
@@ -61,22 +67,31 @@ class Block:
         return self.ids[at], scores
 
 
-def _integers(vectors: pd.Series, scale: int) -> np.ndarray:
-    x = np.floor(np.stack(vectors.to_numpy()).astype(np.float64) * scale)
-    most = float(np.abs(x).max(initial=0))
-    dims = x.shape[1]
-    if most * most * dims < 2**53:
-        return x  # sums of products are exact in floating point
-    if most * most * dims < 2**63:
-        return x.astype(np.int64)
-    return np.vectorize(int, otypes=[object])(x)
+def _integers(x: np.ndarray, scale: int, most: float) -> np.ndarray:
+    """floor(scale * x) in a type in which sums of products with components up to ``most`` are exact."""
+    x = np.floor(x * scale)
+    wide = max(most, float(np.abs(x).max(initial=0))) ** 2 * x.shape[1]
+    if wide < 2**53:
+        return x  # in floating point
+    return x.astype(np.int64) if wide < 2**63 else np.vectorize(int, otypes=[object])(x)
+
+
+def _by_size(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors of a batch (vec_id, embedding), for each number of dimensions."""
+    ids, vectors = batch.column(0).to_numpy(), batch.column(1)
+    sizes, flat = np.diff(vectors.offsets.to_numpy()), vectors.flatten().to_numpy()
+    starts = np.cumsum(sizes) - sizes
+    for dims in np.unique(sizes).tolist():
+        rows = np.flatnonzero(sizes == dims)
+        yield ids[rows], flat[starts[rows][:, None] + np.arange(dims)]
 
 
 def top_k(embeddings: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024, candidates_a_block: int = CANDIDATES, queries_a_block: int = QUERIES) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k best candidates of each query.
 
-    Both inputs have (vec_id, embedding). The grid of blocks is sized from counts, so that neither side
-    is held whole anywhere.
+    Both inputs have (vec_id, embedding). Candidates stay where they are read. Queries are broadcast in
+    chunks of a bounded size, one pass over the candidates each; a task makes the lists of a block of its
+    candidates once in a pass and holds all queries of the chunk against them.
     """
 
     def usable(df: DataFrame) -> DataFrame:
@@ -84,24 +99,55 @@ def top_k(embeddings: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1
         odd = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
         return df.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & x.isNotNull() & (F.size(x) > 0) & ~odd)
 
+    sc = embeddings.sparkSession.sparkContext
     cand, quer = usable(embeddings), usable(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    nc, nq = max(1, -(-cand.count() // candidates_a_block)), max(1, -(-quer.count() // queries_a_block))
-    block = lambda n: F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(n)).cast("int")
-    side = lambda df, own, n, other, m: df.select(own, F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other), F.size("embedding").alias("dims"), "vec_id", "embedding")
-    c = side(cand.withColumn("cb", block(nc)), "cb", nc, "qb", nq)
-    q = side(quer.withColumn("qb", block(nq)), "qb", nq, "cb", nc)
-
-    def run(_key, queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
-        if len(queries) and len(candidates):
-            both = _integers(pd.concat([candidates["embedding"], queries["embedding"]]), scale)
-            found = Block(candidates["vec_id"].to_numpy(), both[: len(candidates)])
-            for own, query in zip(queries["vec_id"].tolist(), both[len(candidates) :], strict=True):
-                ids, scores = found.search(own, query, k)
-                out += [(own, i, max(-(2**63), min(2**63 - 1, int(s)))) for i, s in zip(ids.tolist(), scores.tolist(), strict=True)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
-
-    keys = ["cb", "qb", "dims"]
-    best = q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInPandas(run, "query_id long, vec_id long, score long")
+    chunk = F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-quer.count() // queries_a_block)))).cast("int")
+    quer = written(quer.withColumn("chunk", chunk), "queries")
+    chunks = [r["chunk"] for r in quer.select("chunk").distinct().orderBy("chunk").collect()]
+
+    def searched(held) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            waiting: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+            def search(dims: int) -> pa.RecordBatch:
+                ids, vectors = (np.concatenate(x) for x in zip(*waiting.pop(dims), strict=True))
+                own, wanted = held.value[dims]
+                most = float(np.abs(np.floor(wanted * scale)).max(initial=0))
+                found = Block(ids, _integers(vectors, scale, most))
+                wanted = np.floor(wanted * scale).astype(found.vectors.dtype) if found.vectors.dtype != object else np.vectorize(int, otypes=[object])(np.floor(wanted * scale))
+                out = [(o, *found.search(o, q, k)) for o, q in zip(own.tolist(), wanted, strict=True)]
+                scores = [max(-(2**63), min(2**63 - 1, int(s))) for *_, x in out for s in x.tolist()]
+                query = np.repeat(own, [len(x) for *_, x in out])
+                return pa.record_batch([pa.array(query, pa.int64()), pa.array(np.concatenate([x for _, x, _ in out]), pa.int64()), pa.array(scores, pa.int64())], names=["query_id", "vec_id", "score"])
+
+            for b in batches:
+                for ids, vectors in _by_size(b):
+                    dims = vectors.shape[1]
+                    if dims not in held.value:
+                        continue
+                    waiting.setdefault(dims, []).append((ids, vectors))
+                    if sum(len(x) for x, _ in waiting[dims]) >= candidates_a_block:
+                        yield search(dims)
+            for dims in list(waiting):
+                yield search(dims)
+
+        return cand.mapInArrow(run, "query_id long, vec_id long, score long")
+
+    parts = []
+    for c in chunks:
+        rows = quer.where(F.col("chunk") == c).select("vec_id", "embedding").toArrow()  # some queries_a_block rows
+        by_size: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for b in rows.to_batches():
+            for ids, vectors in _by_size(b):
+                by_size.setdefault(vectors.shape[1], []).append((ids, vectors))
+        held = sc.broadcast({dims: tuple(np.concatenate(x) for x in zip(*found, strict=True)) for dims, found in by_size.items()})
+        best = _best(searched(held), k)
+        parts.append(best if len(chunks) == 1 else written(best, "best"))
+    if not parts:
+        return _best(cand.limit(0).select(F.col("vec_id").alias("query_id"), "vec_id", F.lit(0).cast("long").alias("score")), k)
+    return reduce(DataFrame.union, parts)
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
