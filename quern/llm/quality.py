@@ -202,11 +202,13 @@ def _loss(logits: np.ndarray, y: np.ndarray) -> float:
 
 
 def training_rows(documents: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, most_rows: int) -> DataFrame:
-    """(doc_id, label, text) of a bounded sample of labelled rows of the training fold, as a table."""
+    """(doc_id, label, text) of a bounded sample of labelled rows of the training fold, as a table. Of rows
+    that repeat an id the smallest text counts, so the sample has ``most_rows`` rows at most."""
     some = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), folds, fold))
     sample = written(some.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows), "sample")
     # at most most_rows pairs of integers, so this side can always be broadcast
-    return written(documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id"), "training")
+    rows = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    return written(rows.groupBy("doc_id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")), "training")
 
 
 def with_scores(documents: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2, most_rows: int = MOST_ROWS) -> DataFrame:
