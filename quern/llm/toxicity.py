@@ -9,8 +9,9 @@ length; a logistic of both gives the score.
 
 The lexicon starts from a few plain insults and gains terms and weights from labelled rows of the
 training fold: words that are in toxic texts more often than chance can explain, and hardly in others.
-Near copies of a text vote once, so that the words of a text that was copied don't count as its insults.
-Rows and terms are bounded (``most_rows``, ``most_terms``).
+Terms are words, with or without digits, and pairs of words neither of which is a term itself. Near copies
+of a text vote once, so that the words of a text that was copied don't count as its insults. The rows are
+bounded (``most_rows``), and with them the terms; every term that passes is taken.
 
 Edge cases: a null or empty text holds no term and gets the score of a text without terms; null or
 repeated doc_ids are scored like any other rows; without labels of both kinds the seed weights stand; an
@@ -20,6 +21,7 @@ empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -29,12 +31,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import release, written
 from .quality import held_out, training_rows
 
 THRESHOLD = 0.5
 MOST_ROWS = 20_000
-MOST_TERMS = 400
+#: Characters of a word that may become a term.
+SHORTEST, LONGEST = 2, 40
 
 #: Plain insults to start from.
 SEEDS = ("idiot", "moron", "stupid", "scum", "loser", "pathetic", "worthless", "disgusting", "trash", "clown")
@@ -79,19 +82,23 @@ class _Bare(dict):
 _FOLDED, _BARE = _Fold(), _Bare()
 _LEET = str.maketrans(LEET)
 _EDGES = "".join(c for c in LEET if not c.isalnum())
+#: Signs at the end of a word.
+_ENDS = re.compile(rf"(?<=[^\s{re.escape(_EDGES)}])[{re.escape(_EDGES)}]+(?=\s|$)")
 
 
 def fold(text: str) -> list[str]:
-    """The different readings of a text: folded; without accents; and with digits and signs as letters.
+    """The different readings of a text: folded; without accents; with digits and signs as letters; and with
+    those but the signs that end a word. White space is one blank.
 
-    A sign at the end of a word is mostly punctuation ("stupid!!") and an accent may tell two words
-    apart, so terms may match in any reading.
+    A sign at the end of a word is mostly punctuation ("stupid!!", "1d10t!") and an accent may tell two
+    words apart, so terms may match in any reading.
     """
     if not unicodedata.is_normalized("NFC", text):
         text = unicodedata.normalize("NFC", text)
-    plain = text.translate(_FOLDED)
+    plain = " ".join(text.translate(_FOLDED).split())
     bare = plain if plain.isascii() else plain.translate(_BARE)
-    return list(dict.fromkeys((plain, bare, bare.translate(_LEET))))
+    ended = _ENDS.sub(lambda m: " " * len(m[0]), bare)
+    return list(dict.fromkeys((plain, bare, bare.translate(_LEET), ended.translate(_LEET))))
 
 
 class Lexicon:
@@ -110,7 +117,7 @@ class Lexicon:
         self.automaton.make_automaton()
 
     def found(self, text: str) -> list[tuple[int, int, float]]:
-        """(start, end, weight) of the terms that count, in the folded text."""
+        """(start, end, weight) of the terms that count, in the folded text with one blank between words."""
         terms: dict[int, tuple[int, float]] = {}
         for read in fold(text):
             covered: list[tuple[int, int]] = []
@@ -134,14 +141,16 @@ class Lexicon:
 
 
 def _words(text: str) -> set[str]:
-    """Words after folding, as they stand and with digits and signs as letters."""
-    words = {w.strip(_EDGES) for w in fold(text)[0].split()}
-    words |= {w.translate(_BARE).translate(_LEET) for w in words if not w.isalpha()}
-    return {w for w in words if 4 <= len(w) <= 24 and w.isalpha()}
+    """Words after folding, as they stand and with digits and signs as letters, and pairs of neighbours."""
+    words = [w.strip(_EDGES) for w in fold(text)[0].split()]
+    plain = [w.translate(_BARE).translate(_LEET) if not w.isalpha() else w for w in words]
+    fits = lambda w: SHORTEST <= len(w) <= LONGEST and not w.isdigit()
+    pairs = {f"{a} {b}" for a, b in zip(plain, plain[1:], strict=False) if fits(a) and fits(b)}
+    return {w for w in {*words, *plain} if fits(w)} | pairs
 
 
-def fit_lexicon(training: DataFrame, most_terms: int = MOST_TERMS) -> dict[str, float]:
-    """Weights of the terms, from (label, text) rows; ``most_terms`` learned ones at most."""
+def fit_lexicon(training: DataFrame) -> dict[str, float]:
+    """Weights of the terms, from (label, text) rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -166,9 +175,12 @@ def fit_lexicon(training: DataFrame, most_terms: int = MOST_TERMS) -> dict[str,
     counts = written(pairs.groupBy("word").agg(F.sum("label").alias("d1"), F.sum(1 - F.col("label")).alias("d0")).where("d1 + d0 >= 3"), "counts")
     # of so many words, less than one comes by chance into d1 toxic texts and none else
     least = math.log(2 * max(1, counts.count())) / math.log((n0 + n1) / n1)
-    found = counts.where((F.col("d1") >= least) & (F.col("d0") * 10 <= F.col("d1"))).orderBy(F.col("d1").desc(), "word").limit(most_terms)
-    for r in found.collect():
-        out[r["word"]] = math.log((r["d1"] + 0.5) / (n1 + 1)) - math.log((r["d0"] + 0.5) / (n0 + 1))
+    found = counts.where((F.col("d1") >= least) & (F.col("d0") * 10 <= F.col("d1"))).collect()  # of the words of most_rows texts
+    release(counts)
+    alone = {r["word"] for r in found if " " not in r["word"]}
+    for r in found:
+        if r["word"] in alone or not alone & set(r["word"].split()):
+            out[r["word"]] = math.log((r["d1"] + 0.5) / (n1 + 1)) - math.log((r["d0"] + 0.5) / (n0 + 1))
     return out
 
 
