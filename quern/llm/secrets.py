@@ -31,9 +31,9 @@ BASE = (
 )
 #: Cheap tests that a text has to meet before its spans of a kind are located.
 HINTS = {"assign": BASE[0][1], "access": r"AKIA[A-Z0-9]{16}", "hex": r"[0-9a-f]{24}"}
-#: Other candidates: long runs with a digit and a letter.
+#: Other candidates: long runs of encoding characters; one needs a digit and a letter.
 CANDIDATE, LEAST = r"[A-Za-z0-9+/_-]+", 20
-HINT = rf"(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{{{LEAST}}}"
+HINT = rf"[A-Za-z0-9+/_-]{{{LEAST}}}"
 KIND = "random"
 ORDER = ("assign", "access", "hex", KIND)
 LEVEL = 0.01
@@ -41,27 +41,45 @@ LEVEL = 0.01
 CLASSES, STEPS = (28, 40, 64), 64
 
 
+def _bound(value: Column, f) -> Column:
+    """``f`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _running(lengths: Column) -> Column:
+    """Running sums of an array of one entry or more. Entries are added up in pieces of the root of their
+    number and then piece by piece, as an array that grows by one is copied each time."""
+    at = lambda: F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    sums = lambda x: F.aggregate(x, at(), lambda a, v: F.struct((a["at"] + v).alias("at"), F.concat(a["out"], F.array(a["at"] + v)).alias("out")), lambda a: a["out"])
+    size = F.ceil(F.sqrt(F.size(lengths))).cast("int")
+    pieces = F.transform(F.sequence(F.lit(1), F.size(lengths), size), lambda lo: F.slice(lengths, lo, size))
+    joined = lambda p: F.flatten(F.zip_with(p, sums(F.transform(p, lambda x: F.element_at(x, -1))), lambda x, end: F.transform(x, lambda v: v + end - F.element_at(x, -1))))
+    return _bound(F.transform(pieces, sums), joined)
+
+
 def _located(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
-    """Spans (start, end, kind, value) of the non-overlapping matches from the left. The text is cut at
-    the matches; running lengths of what lies between give the positions."""
-    whole, value = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    parts = F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(whole)).alias("gap"), whole.alias("match"), value.alias("value"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,kind:string,value:string>>").alias("spans"))
+    """Spans (start, end, kind, value) of the non-overlapping matches from the left, of which there is one
+    at least. The text is cut at the matches; running lengths of what lies between give the positions."""
+    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
-    def step(acc: Column, p: Column) -> Column:
-        lo = acc["at"] + F.length(p["gap"])
-        hi = lo + F.length(p["match"])
-        span = F.struct(lo.alias("start"), hi.alias("end"), F.lit(kind).alias("kind"), p["value"].alias("value"))
-        return F.struct(hi.alias("at"), F.when(F.length(p["value"]) >= least, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+    def spans(found: Column) -> Column:
+        value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
+        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
+        ends = _bound(F.zip_with(gaps, found, lambda g, m: F.length(g) + F.length(m)), _running)
+        rows = F.arrays_zip(ends.alias("end"), found.alias("match"), value.alias("value"))
+        return F.transform(F.filter(rows, lambda r: F.length(r["value"]) >= least), lambda r: F.struct((r["end"] - F.length(r["match"])).alias("start"), r["end"].alias("end"), F.lit(kind).alias("kind"), r["value"].alias("value")))
 
-    return F.aggregate(parts, start, step, lambda acc: acc["spans"])
+    return _bound(whole, spans)
 
 
 def _spans(text: Column, kind: str, pattern: str, group: int, least: int, hint: str) -> Column:
     none = F.array().cast("array<struct<start:int,end:int,kind:string,value:string>>")
     # hexadecimal and candidate runs are short in prose: only those long enough part the text
     bounded = {"hex": rf"[0-9a-f]{{{least},}}", KIND: rf"[A-Za-z0-9+/_-]{{{least},}}"}.get(kind, pattern)
-    return F.when(F.regexp_like(text, F.lit(hint)), _located(text, kind, bounded, group, least)).otherwise(none)
+    found = _located(text, kind, bounded, group, least)
+    if kind == KIND:
+        found = F.filter(found, lambda s: F.regexp_like(s["value"], F.lit("[0-9]")) & F.regexp_like(s["value"], F.lit("[A-Za-z]")))
+    return F.when(F.regexp_like(text, F.lit(hint)), found).otherwise(none)
 
 
 def _rank(kind: Column) -> Column:
@@ -96,7 +114,6 @@ def battery(value: Column) -> Column:
     small = F.length(alphabet) <= 36
     text = F.when(small, F.lower(value)).otherwise(value)
     size = F.least(F.length(alphabet), F.lit(64)).cast("double")  # two spellings of the last two signs
-    bound = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)
     codes = F.transform(F.split(text, ""), lambda c: F.least(F.instr(alphabet, c) - 1, F.lit(63)).cast("double"))
 
     def tests(p: Column) -> Column:
@@ -120,7 +137,7 @@ def battery(value: Column) -> Column:
         chi_p = F.when(chi_z >= 0, _tail(F.abs(chi_z))).otherwise(1 - _tail(F.abs(chi_z)))
         return F.least(F.lit(1.0), 3 * F.least(chi_p, 2 * _tail(runs_z), 2 * _tail(serial_z)))
 
-    return F.when(alphabet.isNotNull(), bound(F.struct(codes.alias("x"), size.alias("k")), tests))
+    return F.when(alphabet.isNotNull(), _bound(F.struct(codes.alias("x"), size.alias("k")), tests))
 
 
 def rejected(candidates: DataFrame, level: float = LEVEL) -> DataFrame:
