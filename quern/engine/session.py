@@ -19,8 +19,8 @@ from pyspark.sql.types import NullType, StructField, StructType
 
 from . import ddl
 from .access import Access
-from .catalog import Catalog, Table
-from .constraints import check_children, check_keys, check_parents, check_rows
+from .catalog import Catalog, Stats, Table
+from .constraints import Rows, child_checks, key_checks, parent_checks, row_rules, settle
 from .errors import (
     ALREADY_IN_TRANSACTION, DDL_IN_TRANSACTION, INTERNAL, NO_ACTIVE_TRANSACTION, PROTOCOL, QUERY_TIMEOUT, RESULT_ROWS_TOO_LARGE, SQL_TOO_LONG, UNSUPPORTED_SQL, EngineError,
 )
@@ -28,6 +28,9 @@ from .lexer import Token, quote, render, statements, tokens
 from .parser import DDL, DML, Parser, Statement
 
 _TRIES = 5
+#: Rows that are rewritten together as one file, without a look which of their files are concerned, and how
+#: many small files an INSERT leaves beside each other.
+SMALL, FEW = 100_000, 16
 
 
 @dataclass
@@ -38,6 +41,11 @@ class Policy:
     rows: int | None = None
     seconds: float | None = None
 
+    @classmethod
+    def interactive(cls) -> Policy:
+        """For people at a prompt: 65,536 rows and 30 seconds."""
+        return cls(rows=65_536, seconds=30.0)
+
 
 @dataclass
 class Result:
@@ -58,8 +66,10 @@ class Engine:
     """Tables in a folder. Sessions of one engine, or of several on the same folder, see each other's
     commits."""
 
-    def __init__(self, spark: SparkSession, data_dir: str, policy: Policy | None = None, access: Access | None = None):
-        self.spark, self.catalog = spark, Catalog(spark, data_dir)
+    def __init__(self, spark: SparkSession, data_dir: str, policy: Policy | None = None, access: Access | None = None, serializable: bool = False):
+        """With ``serializable`` a transaction also fails if a table that its statements read has changed;
+        else it reads a snapshot, and fails if one that it changed, or was checked against, has."""
+        self.spark, self.catalog, self.serializable = spark, Catalog(spark, data_dir), serializable
         self.policy, self.access = policy or Policy(), access
 
     def connect(self, user: str | None = None) -> Session:
@@ -96,6 +106,7 @@ class Session:
         self.in_transaction = False
         self.base: dict[str, Table] = {}
         self.staged: dict[str, Table | None] = {}
+        self.depends: set[str] = set()
         self.prepared: dict[str, list[Token]] = {}
         self.viewed: set[str] = set()
 
@@ -137,10 +148,17 @@ class Session:
             if policy.seconds is None:
                 return self._capped(run(), policy)
             sc, tag = self.spark.sparkContext, f"quern-{id(self)}-{time.monotonic_ns()}"
-            late = threading.Event()
-            timer = threading.Timer(policy.seconds, lambda: (late.set(), sc.cancelJobsWithTag(tag)))
+            late, over = threading.Event(), threading.Event()
+
+            def watch() -> None:
+                wait = policy.seconds
+                while not over.wait(wait):  # again and again: a job may start after the first call
+                    late.set()
+                    sc.cancelJobsWithTag(tag)
+                    wait = 0.2
+
             sc.addJobTag(tag)
-            timer.start()
+            threading.Thread(target=watch, daemon=True).start()
             try:
                 result = run()
                 if result.frame is not None:  # its time counts
@@ -151,7 +169,7 @@ class Session:
                     raise EngineError(QUERY_TIMEOUT, f"no result within {policy.seconds:g} s") from e
                 raise
             finally:
-                timer.cancel()
+                over.set()
                 sc.removeJobTag(tag)
         except EngineError:
             raise
@@ -177,13 +195,13 @@ class Session:
     def _begin(self, _s: Statement) -> Result:
         if self.in_transaction:
             raise EngineError(ALREADY_IN_TRANSACTION, "a transaction is open")
-        self.base, self.staged, self.in_transaction = self.catalog.load()[1], {}, True
+        self.base, self.staged, self.depends, self.in_transaction = self.catalog.load()[1], {}, set(), True
         return Result()
 
     def _commit(self, _s: Statement) -> Result:
         self._end()
         staged, self.staged = self.staged, {}
-        if staged and not self.catalog.commit(self.base, staged):
+        if staged and not self.catalog.commit(self.base, staged, self.depends):
             raise EngineError(INTERNAL, "another session has changed a table of this transaction; it is rolled back")
         return Result()
 
@@ -200,7 +218,7 @@ class Session:
     def tables(self) -> dict[str, Table]:
         """The tables as this session sees them."""
         if not self.in_transaction:
-            self.base, self.staged = self.catalog.load()[1], {}
+            self.base, self.staged, self.depends = self.catalog.load()[1], {}, set()
         return {k: t for k, t in (self.base | self.staged).items() if t is not None}
 
     def _change(self, s: Statement) -> Result:
@@ -211,14 +229,14 @@ class Session:
             if self.in_transaction:
                 self.staged |= changed
                 return Result(rows_affected=affected)
-            if not changed or self.catalog.commit(self.base, changed):
+            if not changed or self.catalog.commit(self.base, changed, self.depends):
                 return Result(rows_affected=affected)
             if left == 1:
                 raise EngineError(INTERNAL, "other sessions keep changing the table")
         raise AssertionError
 
     # -- queries
-    def rows(self, table: Table, files: list[str] | None = None) -> DataFrame:
+    def rows(self, table: Table, files: dict[str, Stats] | None = None) -> DataFrame:
         return Catalog.read(self._reader(), table, files)
 
     def _reader(self) -> Catalog:
@@ -226,6 +244,15 @@ class Session:
         out.spark, out.files = self.spark, self.catalog.files
         return out
 
+    def viewer(self, tables: dict[str, Table]) -> Rows:
+        """Rows by name for the checks; the commit depends on the tables that they look at."""
+
+        def rows(name: str, files: dict[str, Stats] | None = None) -> DataFrame:
+            self.depends.add(name)
+            return self.rows(tables[name], files)
+
+        return rows
+
     def frame(self, parts: list[Token]) -> DataFrame:
         """A query over the session's tables; those it names are made views."""
         self._views(parts, self.tables())
@@ -298,15 +325,31 @@ class Session:
         for f in struct.fields:
             value = F.col(quote(given[f.name])) if f.name in given else F.expr(table.defaults.get(f.name, "NULL"))
             columns.append(value.cast(f.dataType).alias(f.name))
-        new = new.select(*columns)
-        files = self.catalog.write(table.name, new)  # once: a query with random values gives what is checked
-        new = self.rows(table, files)
-        check_rows(table, new)
-        check_keys(table, new, self.rows(table) if table.files else None)
-        out = table.copy(files=table.files + files)
+        few = [f for f, x in table.files.items() if x.rows < SMALL // FEW]
+        small = bool(s.rows) and len(s.rows) < SMALL
+        merged = {f: table.files[f] for f in few} if small and len(few) >= FEW else {}
+        files, _ = self._written(table, new.select(*columns), small)
+        kept = {f: x for f, x in table.files.items() if f not in merged}
+        out = table.copy(files=table.files | files)
         after = tables | {out.name: out}
-        check_parents(out, new, after, lambda n: self.rows(after[n]))
-        return {out.name: out}, new.count()
+        view = self.viewer(after)
+        settle(key_checks(out, files, table.files, view) + parent_checks(out, files, after, view))
+        n = sum(x.rows for x in files.values())
+        if merged and sum(x.rows for x in merged.values()) < SMALL:  # small files become one
+            files = self.catalog.write(out, self.rows(out, merged | files), True)[0]
+            out = out.copy(files=kept | files)
+        return {out.name: out}, n
+
+    def _written(self, table: Table, rows: DataFrame, small: bool, hit: str | None = None) -> tuple[dict[str, Stats], int]:
+        """New files of rows that meet the rules for rows, and for how many of them ``hit`` holds."""
+        rules = row_rules(table)
+        counts = {k: bad for k, (bad, _) in rules.items()} | ({"hit": F.col(hit)} if hit else {})
+        files, found = self.catalog.write(table, rows, small, counts)
+        for k, (_, error) in rules.items():
+            if found[k]:
+                self.catalog.forget(files)
+                raise error
+        return files, found.get("hit", 0)
 
     def _source(self, s: Statement, table: Table | None) -> DataFrame:
         """The rows to insert, under the names of their columns."""
@@ -333,16 +376,42 @@ class Session:
         schema = StructType([StructField(f.name, f.dataType, True) for f in fields]).json()
         return table.copy(schema=schema) if table is not None else Table(name.lower(), schema, dynamic=True)
 
-    def _touched(self, table: Table, where: str | None) -> tuple[list[str], int]:
-        """The files with a row that matches, and how many rows do."""
-        if not table.files:
-            return [], 0
-        rows = self.rows(table)
-        hit = rows.where(where) if where else rows
-        found = hit.groupBy(F.col("_metadata.file_path").alias("f")).count().collect()  # a row a file
-        paths = {r["f"] for r in found}
-        names = {p.rsplit("/", 2)[-2] + "/" + p.rsplit("/", 1)[-1] for p in paths}
-        return [f for f in table.files if "/".join(f.rsplit("/", 2)[-2:]) in names], sum(r["count"] for r in found)
+    def _near(self, table: Table, s: Statement) -> dict[str, Stats]:
+        """The files that may hold a row which meets the condition: those whose statistics allow it, by the
+        comparisons of a column with a constant that the condition joins by AND."""
+        files, parts = table.files, [[]]
+        depth = 0
+        for t in s.body:
+            depth += (t.text == "(") - (t.text == ")")
+            if t.upper() in ("OR", "BETWEEN", "CASE", "SELECT"):
+                return files
+            if t.upper() == "AND" and not depth:
+                parts.append([])
+            else:
+                parts[-1].append(t)
+        for p in parts:
+            if len(p) != 3 or p[0].kind not in ("word", "quoted") or p[2].kind not in ("number", "string") or p[1].text not in ("=", "<", "<=", ">", ">="):
+                continue
+            name = {c.lower(): c for c in table.columns}.get(p[0].name().lower())
+            text = p[2].text
+            value = int(text) if text.isdigit() else text[1:-1] if text[0] == "'" and "'" not in text[1:-1] and "\\" not in text else None
+            if name and value is not None:
+                low, high = (None if "<" in p[1].text else value), (None if ">" in p[1].text else value)
+                allowed = table.near(name, low, high)
+                files = {f: x for f, x in files.items() if f in allowed}
+        return files
+
+    def _touched(self, table: Table, s: Statement) -> tuple[dict[str, Stats], bool]:
+        """The files that a change rewrites, and whether they are few enough to become one: those with a
+        row that matches, or all that may have one if there is little in them."""
+        files = self._near(table, s)
+        if sum(x.rows for x in files.values()) <= SMALL:
+            return files, True
+        if s.where and not self._nested(s):
+            hit = self.rows(table, files).where(s.where).groupBy(F.col("_metadata.file_path").alias("f")).agg(F.count("*").alias("n"))
+            names = {"/".join(r["f"].rsplit("/", 2)[-2:]) for r in hit.collect()}  # a row a file
+            files = {f: x for f, x in files.items() if "/".join(f.rsplit("/", 2)[-2:]) in names}
+        return files, sum(x.rows for x in files.values()) <= SMALL
 
     def _update(self, s: Statement, tables: dict[str, Table]) -> tuple[dict[str, Table | None], int]:
         table = self._known(tables, s.table)
@@ -352,39 +421,49 @@ class Session:
                 raise EngineError(PROTOCOL, f"{column} is set twice")
             sets[c] = value
         self._views(s.body + tokens(" ".join(v for _, v in s.sets)), tables)
-        touched, n = self._touched(table, s.where) if not self._nested(s) else (table.files, self._count(table, s.where))
-        if not n:
+        touched, small = self._touched(table, s)
+        if not touched:
             return {}, 0
-        hit = F.expr(f"coalesce({s.where}, false)") if s.where else F.lit(True)
-        marked = self.rows(table, touched).withColumn("_hit", hit)
+        marked = self.rows(table, touched).withColumn("_hit", F.expr(f"coalesce({s.where}, false)") if s.where else F.lit(True))
         values = [F.when(F.col("_hit"), F.expr(sets[f.name]).cast(f.dataType)).otherwise(F.col(quote(f.name))).alias(f.name) if f.name in sets else F.col(quote(f.name)) for f in table.struct.fields]
-        out = table.copy(files=[f for f in table.files if f not in touched] + self.catalog.write(table.name, marked.select(*values)))
+        files, n = self._written(table, marked.select(*values, "_hit"), small, "_hit")
+        if not n:
+            self.catalog.forget(files)
+            return {}, 0
+        kept = {f: x for f, x in table.files.items() if f not in touched}
+        out = table.copy(files=kept | files)
         after = tables | {out.name: out}
-        new = self.rows(out, [f for f in out.files if f not in table.files])
-        check_rows(out, new)
-        keys = {c for k in out.constraints if k.kind in ("primary", "unique") for c in k.columns}
-        if keys & sets.keys():
-            kept = [f for f in out.files if f in table.files]
-            check_keys(out, new, self.rows(out, kept) if kept else None)
-        view = lambda name: self.rows(after[name])
-        check_parents(out, new, after, view)
-        check_children(out, after, view)
+        view, columns = self.viewer(after), set(sets)
+        settle(key_checks(out, files, kept, view, columns) + parent_checks(out, files, after, view, columns) + child_checks(out, marked.where("_hit"), after, view, columns))
         return {out.name: out}, n
 
     def _delete(self, s: Statement, tables: dict[str, Table]) -> tuple[dict[str, Table | None], int]:
         table = self._known(tables, s.table)
-        self._views(s.body + tokens(" ".join(v for _, v in s.sets)), tables)
-        touched, n = self._touched(table, s.where) if not self._nested(s) else (table.files, self._count(table, s.where))
+        self._views(s.body, tables)
+        touched, small = self._touched(table, s) if s.where else (table.files, True)
+        if not touched:
+            return {}, 0
+        rest = self.rows(table, touched).where(f"NOT coalesce({s.where}, false)") if s.where else None
+        files = self.catalog.write(table, rest, small)[0] if rest is not None else {}
+        n = sum(x.rows for x in touched.values()) - sum(x.rows for x in files.values())
         if not n:
+            self.catalog.forget(files)
             return {}, 0
-        files = [f for f in table.files if f not in touched]
-        if s.where:
-            files += self.catalog.write(table.name, self.rows(table, touched).where(f"NOT coalesce({s.where}, false)"))
-        out = table.copy(files=files)
+        out = table.copy(files={f: x for f, x in table.files.items() if f not in touched} | files)
         after = tables | {out.name: out}
-        check_children(out, after, lambda name: self.rows(after[name]))
+        gone = self.rows(table, touched)
+        settle(child_checks(out, gone.where(s.where) if s.where else gone, after, self.viewer(after)))
         return {out.name: out}, n
 
+    def _analyze(self, s: Statement) -> Result:
+        """A row a column: rows, nulls, distinct values (estimated), the least and the greatest value."""
+        table = self._known(self.tables(), s.table)
+        kinds = [f.name for f in table.struct.fields]
+        text = lambda f, c: f(quote(c)).cast("string")
+        of = lambda c: F.struct(F.lit(c).alias("column_name"), F.count(F.lit(1)).alias("row_count"), F.count_if(F.col(quote(c)).isNull()).alias("null_count"), F.approx_count_distinct(quote(c)).alias("distinct_count"), text(F.min, c).alias("low"), text(F.max, c).alias("high"))
+        found = self.rows(table).agg(F.array(*[of(c) for c in kinds]).alias("c"))
+        return Result(found.select(F.explode("c").alias("c")).select("c.*"))
+
     def _views(self, parts: list[Token], tables: dict[str, Table]) -> None:
         """Views of the tables that some SQL names; views of what is gone go too."""
         named = {t.name().lower() for t in parts if t.kind in ("word", "quoted")}
@@ -393,12 +472,9 @@ class Session:
         for name in named & tables.keys():
             self.rows(tables[name]).createOrReplaceTempView(name)
         self.viewed |= named & tables.keys()
+        if self.engine.serializable:
+            self.depends |= named & tables.keys()
 
     @staticmethod
     def _nested(s: Statement) -> bool:
         return any(t.upper() == "SELECT" for t in s.body) or any(re.search(r"\bselect\b", v, re.I) for _, v in s.sets)
-
-    def _count(self, table: Table, where: str | None) -> int:
-        rows = self.rows(table)
-        return (rows.where(where) if where else rows).count()
-

@@ -155,6 +155,88 @@ def test_sessions_conflict_and_reopen(spark, db, engine):
     assert again.execute("INSERT INTO t VALUES (6)").rows_affected == 1
 
 
+def test_no_orphans_between_sessions(db, engine):
+    db.execute_script("CREATE TABLE p (id INTEGER PRIMARY KEY); CREATE TABLE c (id INTEGER, p INTEGER REFERENCES p); INSERT INTO p VALUES (1), (2)")
+    with engine.connect() as other:
+        db.execute("BEGIN TRANSACTION")
+        db.execute("INSERT INTO c VALUES (1, 1)")
+        assert other.execute("DELETE FROM p WHERE id = 1").rows_affected == 1
+        fails(errors.INTERNAL, db, "COMMIT")
+        assert rows(db, "SELECT * FROM c") == [] and rows(db, "SELECT * FROM p") == [(2,)]
+        other.execute("BEGIN TRANSACTION")
+        other.execute("DELETE FROM p WHERE id = 2")
+        db.execute("INSERT INTO c VALUES (2, 2)")
+        fails(errors.INTERNAL, other, "COMMIT")
+        fails(errors.CONSTRAINT_VIOLATION, other, "DELETE FROM p WHERE id = 2")
+        # a row that nothing refers to may go while another session inserts elsewhere
+        db.execute("INSERT INTO p VALUES (9)")
+        assert other.execute("DELETE FROM p WHERE id = 9").rows_affected == 1
+
+
+def test_serializable_sessions(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path), serializable=True)
+    with engine.connect() as a, engine.connect() as b:
+        a.execute_script("CREATE TABLE s (x INTEGER); CREATE TABLE t (x INTEGER); INSERT INTO s VALUES (1)")
+        a.execute("BEGIN TRANSACTION")
+        a.execute("INSERT INTO t SELECT x + 1 FROM s")
+        b.execute("UPDATE s SET x = 5")
+        fails(errors.INTERNAL, a, "COMMIT")
+        assert rows(a, "SELECT * FROM t") == []
+
+
+def test_statistics_choose_files(db):
+    db.execute("CREATE TABLE t (a INTEGER PRIMARY KEY, s TEXT)")
+    for i in range(4):
+        db.execute(f"INSERT INTO t VALUES ({10 * i}, 'k{i}'), ({10 * i + 9}, 'k{i}')")
+    t = db.tables()["t"]
+    assert t.rows == 8 and len(t.files) == 4 and all(x.rows == 2 for x in t.files.values())
+    near = lambda where: len(db._near(t, db_statement(f"DELETE FROM t WHERE {where}")))
+    assert [near(w) for w in ("a = 9", "a = 12", "a >= 20", "s = 'k2' AND a < 25", "a = 50", "a = 1 OR s = 'k3'", "a + 1 = 2", "s = 5", "a BETWEEN 1 AND 2", "a = NULL")] == [1, 1, 2, 1, 0, 4, 4, 4, 4, 4]
+    assert db.execute("UPDATE t SET s = 'z' WHERE a = 50").rows_affected == 0
+    assert db.execute("UPDATE t SET s = 'z' WHERE a = 12").rows_affected == 0 and db.tables()["t"].files == t.files
+    fails(errors.CONSTRAINT_VIOLATION, db, "INSERT INTO t VALUES (100, 'a'), (39, 'b')")
+    found = {r[0]: r[1:] for r in db.execute("ANALYZE TABLE t").rows()}
+    assert found == {"a": (8, 0, 8, "0", "39"), "s": (8, 0, 4, "k0", "k3")}
+
+
+def db_statement(sql):
+    from quern.engine.lexer import statements
+    from quern.engine.parser import Parser
+
+    return Parser(statements(sql)[0]).statement()
+
+
+def test_small_files_become_one(db, engine, monkeypatch):
+    from quern.engine import session
+
+    monkeypatch.setattr(session, "FEW", 4)
+    db.execute("CREATE TABLE t (a INTEGER PRIMARY KEY)")
+    for i in range(9):
+        db.execute(f"INSERT INTO t VALUES ({i})")
+    assert len(db.tables()["t"].files) <= 4 and rows(db, "SELECT count(*), sum(a) FROM t") == [(9, 36)]
+    fails(errors.CONSTRAINT_VIOLATION, db, "INSERT INTO t VALUES (3)")
+    for _ in range(25):  # more manifests than are kept apart
+        db.execute("UPDATE t SET a = a + 1 WHERE a >= 0")
+    assert rows(engine.connect(), "SELECT min(a), max(a) FROM t") == [(25, 33)]
+    assert len(db.tables()["t"].manifests) <= 21 and engine.catalog.vacuum() > 0
+    assert rows(engine.connect(), "SELECT sum(a) FROM t") == [(36 + 9 * 25,)]
+
+
+def test_changes_of_many_rows_touch_only_their_files(db, monkeypatch):
+    from quern.engine import session
+
+    monkeypatch.setattr(session, "SMALL", 3)
+    db.execute("CREATE TABLE t (a BIGINT, b BIGINT)")
+    for i in range(3):
+        db.execute(f"INSERT INTO t SELECT id, {i} FROM range(10)")
+    before = set(db.tables()["t"].files)
+    assert db.execute("UPDATE t SET a = -1 WHERE a + b = 11").rows_affected == 1
+    after = set(db.tables()["t"].files)
+    assert len(before - after) < len(before)
+    assert db.execute("DELETE FROM t WHERE a < 5").rows_affected == 16
+    assert rows(db, "SELECT count(*), sum(a) FROM t") == [(14, 35 + 35 + 26)]
+
+
 def test_alter_columns(db):
     db.execute("CREATE TABLE t (a INTEGER, b INTEGER, CHECK (b > 0))")
     db.execute("INSERT INTO t VALUES (1, 1)")
