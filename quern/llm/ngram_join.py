@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import IdFilter, Memo, mix, release, written
 from .components import components
-from .regions import Parity, links_in_regions, meet, pivot_pairs, shared
+from .regions import Parity, links_in_regions, pivot_pairs, shared
 
 #: Byte table: A-Z to a-z, all else as it is.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -171,7 +171,7 @@ def _rows(found: list[np.ndarray], nodes: list[tuple[int, int]]) -> pa.RecordBat
 
 
 def _payloads(documents: DataFrame, n: int, wanted: IdFilter) -> DataFrame:
-    """node, the size of its set, its sketch and the set, of the documents that ``wanted`` lets pass."""
+    """node, the size and weight of its set, its sketch and the set, of the documents that ``wanted`` lets pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(n)
@@ -183,27 +183,11 @@ def _payloads(documents: DataFrame, n: int, wanted: IdFilter) -> DataFrame:
                 sets = [shingles(t.as_py()) for t in part.column(1)]
                 part = part.filter(pa.array([len(s) > 0 for s in sets], pa.bool_()))
                 sets = [s for s in sets if len(s)]
-                columns = [pa.array([len(s) for s in sets], pa.int32()), pa.array([Parity.sketch(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
-                yield pa.record_batch([part.column(0), *columns], names=["node", "size", "sketch", "payload"])
+                sizes = np.array([len(s) for s in sets], np.int32)
+                columns = [pa.array(sizes), pa.array(9 * sizes), pa.array([Parity.sketch(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
+                yield pa.record_batch([part.column(0), *columns], names=["node", "size", "weight", "sketch", "payload"])
 
-    return documents.mapInArrow(run, "node long, size int, sketch binary, payload binary")
-
-
-def _verifier(payloads: DataFrame, percent: int):
-    """(a, b) -> (a, b, linked), by merging the two sets."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            linked = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate((x, y))
-                both.sort(kind="stable")
-                same = int((both[1:] == both[:-1]).sum())
-                linked.append(100 * same >= percent * (len(both) - same))
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
-
-    return lambda pairs: meet(pairs, payloads).mapInArrow(run, "a long, b long, linked boolean")
+    return documents.mapInArrow(run, "node long, size int, weight int, sketch binary, payload binary")
 
 
 def ngram_links(documents: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
@@ -222,11 +206,11 @@ def ngram_links(documents: DataFrame, n: int = 5, percent: int = 80) -> tuple[Da
     nodes = written(buckets.select("node").distinct(), "nodes")
     payloads = _payloads(docs, n, IdFilter(nodes))
     if not some.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():  # one text for each id, the same on each run
-        payloads = payloads.groupBy("node").agg(F.max(F.struct("payload", "sketch", "size")).alias("m")).select("node", "m.size", "m.sketch", "m.payload")
+        payloads = payloads.groupBy("node").agg(F.max(F.struct("payload", "sketch", "size", "weight")).alias("m")).select("node", "m.size", "m.weight", "m.sketch", "m.payload")
     payloads = written(payloads, "payloads")
     pairs = written(pivot_pairs(buckets), "pairs")
     release(buckets, nodes)
-    return sets, copies.union(links_in_regions(pairs, payloads.select("node", "size", "sketch"), Parity(percent), _verifier(payloads.select("node", "payload"), percent)))
+    return sets, copies.union(links_in_regions(pairs, payloads, Parity(percent)))
 
 
 def ngram_components(documents: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:

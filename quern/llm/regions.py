@@ -9,22 +9,21 @@ triangle inequality over sketches gives exact windows, while whole items move on
 First each item is verified against the nearest pivot that it may link with. Members with the pivot's
 label are settled among each other then; the others are open, and a region in which all labels agree is
 done. What an open item can reach lies in a window of distances to the pivot; the rest of the region goes.
-A region small enough for one task is joined there: candidate pairs are those whose sketches may link and
-whose labels differ, and of these a spanning forest by increasing distance goes to verification. Where a
-pair of the forest fails, the region comes again with that pair barred, and with twice as many forests
-as before. A larger region is divided: new pivots among its open items make Voronoi cells, an open item
-moves into the cell of its nearest pivot, and members that an open item of another cell may reach are
-copied across the border. Cells are regions like any other; where division no longer helps, a region is
-dealt out as a grid of blocks of open items and of members.
+A region small enough for one task is joined there: pairs whose sizes and sketches allow a link are taken
+by increasing distance, and those that known links don't connect by then are compared as they are. A
+larger region is divided: new pivots among its open items make Voronoi cells, an open item moves into the
+cell of its nearest pivot, and members that an open item of another cell may reach are copied across the
+border. Cells are regions like any other; where division no longer helps, a region is dealt out as a grid
+of blocks of open items and of members.
 
 The links that come out have the same connected components as all links there are: a pair is left out
 only where known links connect both sides, or where sketches rule it out. No group is expanded into all
-its pairs: a region sends fewer pairs to verification in each forest than it has members.
+its pairs: a region gives fewer links than it has members.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -37,15 +36,14 @@ from .common import release, written
 from .components import components
 
 #: A region is joined in one task up to so many pairs of an open item and a member, and bytes of sketches.
-AREA, BYTES = 1 << 22, 1 << 26
+AREA, BYTES = 1 << 24, 1 << 26
 #: New pivots of a larger region, and how often regions are divided by pivots before they become grids.
 PIVOTS, DEPTH = 16, 4
 
-Verify = Callable[[DataFrame], DataFrame]
-
 
 class Metric:
-    """Distances between sketches (bytes), and the largest that two items which link can have."""
+    """Distances between sketches (bytes), the largest that two items which link can have, and the link
+    itself, between payloads."""
 
     def matrix(self, sketches: list[bytes]) -> np.ndarray:
         """The sketches as rows of one array."""
@@ -59,11 +57,19 @@ class Metric:
         """By the sizes of two items."""
         raise NotImplementedError
 
+    def partners(self, size: int) -> tuple[int, int]:
+        """The least and the greatest size of an item that may link with one of this size."""
+        raise NotImplementedError
+
+    def linked(self, a, b) -> bool:
+        raise NotImplementedError
+
 
 class Parity(Metric):
-    """Sketches of sets: a bit for each slot of a power-of-two number of slots, the parity of its elements.
-    An element in which two sets differ flips one bit, so they differ in at most as many bits. The half of
-    a sketch added to its other half is the sketch for half as many slots."""
+    """Sets as sorted arrays of 64-bit hashes, linked by Jaccard similarity. A sketch has a bit for each slot
+    of a power-of-two number of slots, the parity of its elements. An element in which two sets differ flips
+    one bit, so they differ in at least as many elements as bits. The half of a sketch added to its other
+    half is the sketch for half as many slots."""
 
     def __init__(self, percent: int):
         self.percent = percent
@@ -90,33 +96,21 @@ class Parity(Metric):
     def most(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return (a + b) * (100 - self.percent) // (100 + self.percent)
 
+    def partners(self, size: int) -> tuple[int, int]:
+        return -(-size * self.percent // 100), size * 100 // self.percent
 
-class Counts(Metric):
-    """Sketches of strings: how many characters fall into each of 64 classes, 255 at most. An edit changes
-    two of the counts by one at most."""
-
-    def __init__(self, allowed: Callable[[np.ndarray], np.ndarray]):
-        self.allowed = allowed
-
-    @staticmethod
-    def sketch(points: np.ndarray) -> bytes:
-        return np.minimum(np.bincount(points & 63, minlength=64), 255).astype(np.uint8).tobytes()
-
-    def matrix(self, sketches: list[bytes]) -> np.ndarray:
-        return np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), -1).astype(np.int16)
-
-    def row(self, matrix: np.ndarray, one: np.ndarray) -> np.ndarray:
-        return np.abs(matrix - one).sum(axis=1, dtype=np.int32)
-
-    def most(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return 2 * self.allowed(np.minimum(a, b))
+    def linked(self, a: bytes, b: bytes) -> bool:
+        both = np.concatenate((np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)))
+        both.sort(kind="stable")
+        same = int((both[1:] == both[:-1]).sum())
+        return 100 * same >= self.percent * (len(both) - same)
 
 
 def shared(buckets: DataFrame) -> DataFrame:
-    """The rows (key, node, ...) of buckets with two rows or more, by a window that looks one row ahead and
+    """The rows (key, node, ...) of buckets with two nodes or more, by a window that looks one row ahead and
     one back, so its memory doesn't depend on a bucket's size."""
     by = Window.partitionBy("key").orderBy("node")
-    beside = F.lag("node").over(by).isNotNull() | F.lead("node").over(by).isNotNull()
+    beside = F.coalesce(F.lag("node").over(by) != F.col("node"), F.lit(False)) | F.coalesce(F.lead("node").over(by) != F.col("node"), F.lit(False))
     return buckets.withColumn("_beside", beside).where("_beside").drop("_beside")
 
 
@@ -132,67 +126,32 @@ def pivot_pairs(buckets: DataFrame, seed: str | None = None) -> DataFrame:
     return buckets.select("key", "node").join(lead, "key").where(F.col("pivot") != F.col("node")).select("pivot", "node").distinct()
 
 
-def meet(pairs: DataFrame, payloads: DataFrame) -> DataFrame:
-    """(a, b) with their payloads px and py. Payloads that no pair needs stay out, so that a few pairs
-    don't move them all."""
-    ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    needed = payloads.join(ids, "node", "left_semi")
-    a, b = (needed.select(F.col("node").alias(x), F.col("payload").alias(y)) for x, y in (("a", "px"), ("b", "py")))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "px", "py")
-
-
-def links_in_regions(pairs: DataFrame, items: DataFrame, metric: Metric, verify: Verify) -> DataFrame:
+def links_in_regions(pairs: DataFrame, items: DataFrame, metric: Metric) -> DataFrame:
     """(a, b) links that connect what all links connect.
 
-    ``pairs`` has (pivot, node), ``items`` (node, size, sketch) of each of them. ``verify`` takes (a, b)
-    and gives (a, b, linked).
+    ``pairs`` has (pivot, node), ``items`` (node, size, weight, sketch, payload) of each of them; weight is
+    about the bytes of sketch and payload.
     """
     kind = items.schema["node"].dataType.simpleString()
     star = written(_star(pairs, items, metric, kind), "star")
     nearest = star.where("may").groupBy("node").agg(F.min(F.struct("d", "pivot")).alias("m")).select(F.col("m.pivot").alias("a"), F.col("node").alias("b"))
-    nearest = nearest.select(F.hex("a").alias("region"), F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    nearest = written(nearest, "nearest")
-    found = written(verify(nearest.select("a", "b").distinct()), "verified")
-    links = [found.where("linked").select("a", "b")]
-    failed = nearest.join(found.where(~F.col("linked")), ["a", "b"]).select("region", "a", "b")
-    labels = components(_all(links))
+    links = [written(_verified(nearest, items, metric, kind), "links")]
+    # a few rounds: nodes with the same label are connected, and that is all that labels are for here
+    labels = components(links[0], rounds=2)
     lead = labels.select(F.col("node").alias("pivot"), F.col("component").alias("lead"))
     named = _labelled(star, labels).join(lead, "pivot", "left").withColumn("lead", F.coalesce("lead", "pivot"))
-    fresh = named.select(F.hex("pivot").alias("region"), F.lit(0).alias("depth"), "node", "d", "reach", "bytes", (F.col("label") != F.col("lead")).alias("open"))
+    fresh = named.select(F.hex("pivot").alias("region"), F.lit(0).alias("depth"), "node", "d", "reach", "weight", (F.col("label") != F.col("lead")).alias("open"))
     # the pivot is a member too
-    fresh = fresh.union(star.groupBy("pivot").agg(F.max("reach").alias("reach"), F.max("bytes").alias("bytes")).select(F.hex("pivot"), F.lit(0), "pivot", F.lit(0), "reach", "bytes", F.lit(False)))
-    waiting, trees, held = None, 1, star
-    while True:
-        if fresh is not None:
-            ready = written(_pruned(fresh, labels), "regions")
-            release(held)
-            held = None
-            small = ready.where(F.col("small")).select("region", "node", "open")
-            waiting = small if waiting is None else waiting.union(small)
-            large = ready.where(~F.col("small"))
-            fresh = held = None if large.isEmpty() else written(_divided(large, items, metric, kind), "cells")
-        rows = _labelled(waiting, labels).join(items, "node")
-        edges = written(_forests(rows, failed, metric, trees, kind), "edges")
-        if edges.isEmpty():
-            waiting = None
-        else:
-            found = written(verify(edges.select("a", "b").distinct()), "verified")
-            links.append(found.where("linked").select("a", "b"))
-            release(labels)
-            labels = components(_all(links))
-            bad = written(edges.join(found.where(~F.col("linked")), ["a", "b"]).select("region", "a", "b"), "failed")
-            failed = failed.union(bad)
-            waiting = None if bad.isEmpty() else written(waiting.join(bad.select("region").distinct(), "region", "left_semi"), "waiting")
-            trees *= 2
-        release(edges)
-        if waiting is None:
-            if fresh is None:
-                release(labels)
-                return _all(links)
-            trees = 1
-
-
-def _all(links: list[DataFrame]) -> DataFrame:
+    fresh = fresh.union(star.groupBy("pivot").agg(F.max("reach").alias("reach"), F.max("lead_weight").alias("weight")).select(F.hex("pivot"), F.lit(0), "pivot", F.lit(0), "reach", "weight", F.lit(False)))
+    held = star
+    while fresh is not None:
+        ready = written(_pruned(fresh, labels), "regions")
+        release(held)
+        links.append(written(_joined(ready.where("small"), items, labels, metric, kind), "links"))
+        large = ready.where("not small")
+        fresh = held = None if large.isEmpty() else written(_divided(large, items, metric, kind), "cells")
+        release(ready)
+    release(labels)
     return reduce(DataFrame.union, links)
 
 
@@ -202,7 +161,7 @@ def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _star(pairs: DataFrame, items: DataFrame, metric: Metric, kind: str) -> DataFrame:
     """pivot, node, the distance d of their sketches, may (they may link), reach (the most that members
-    which link can be apart) and the bytes of the sketch."""
+    which link can be apart) and the weights."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -210,12 +169,25 @@ def _star(pairs: DataFrame, items: DataFrame, metric: Metric, kind: str) -> Data
             d = np.fromiter((metric.row(m[1:], m[0])[0] for m in map(metric.matrix, zip(pivots, nodes, strict=True))), np.int32, len(nodes))
             x, y = (b.column(i).to_numpy().astype(np.int64) for i in (2, 3))
             top = np.maximum(x, y)
-            columns = [pa.array(d), pa.array(d <= metric.most(x, y)), pa.array(metric.most(top, top).astype(np.int32)), pa.array([len(s) for s in nodes], pa.int32())]
-            yield pa.record_batch([b.column(0), b.column(1), *columns], names=["pivot", "node", "d", "may", "reach", "bytes"])
+            columns = [pa.array(d), pa.array(d <= metric.most(x, y)), pa.array(metric.most(top, top).astype(np.int32)), b.column(6), b.column(7)]
+            yield pa.record_batch([b.column(0), b.column(1), *columns], names=["pivot", "node", "d", "may", "reach", "lead_weight", "weight"])
+
+    side = lambda name: items.select(F.col("node").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("size", "weight", "sketch")])
+    both = pairs.join(side("node"), "node").join(side("pivot"), "pivot")
+    both = both.select("pivot", "node", *[f"{name}_{c}" for c in ("size", "sketch", "weight") for name in ("pivot", "node")])
+    return both.mapInArrow(run, f"pivot {kind}, node {kind}, d int, may boolean, reach int, lead_weight int, weight int")
 
-    side = lambda name: items.select(F.col("node").alias(name), F.col("size").alias(f"{name}_size"), F.col("sketch").alias(f"{name}_sketch"))
-    both = pairs.join(side("node"), "node").join(side("pivot"), "pivot").select("pivot", "node", "pivot_size", "node_size", "pivot_sketch", "node_sketch")
-    return both.mapInArrow(run, f"pivot {kind}, node {kind}, d int, may boolean, reach int, bytes int")
+
+def _verified(pairs: DataFrame, items: DataFrame, metric: Metric, kind: str) -> DataFrame:
+    """The pairs (a, b) that link, by their payloads."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            linked = [metric.linked(x.as_py(), y.as_py()) for x, y in zip(b.column(2), b.column(3), strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
+
+    a, b = (items.select(F.col("node").alias(x), F.col("payload").alias(y)) for x, y in (("a", "px"), ("b", "py")))
+    return pairs.join(b, "b").join(a, "a").select("a", "b", "px", "py").mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def _pruned(regions: DataFrame, labels: DataFrame) -> DataFrame:
@@ -225,8 +197,8 @@ def _pruned(regions: DataFrame, labels: DataFrame) -> DataFrame:
     differ = named.groupBy("region").agg(F.min("label").alias("first"), F.max("label").alias("last"), F.min(F.when(F.col("open"), F.col("d"))).alias("lo"), F.max(F.when(F.col("open"), F.col("d"))).alias("hi"), F.max("reach").alias("most"))
     differ = differ.where((F.col("first") != F.col("last")) & F.col("lo").isNotNull()).select("region", "lo", "hi", "most")
     near = named.join(differ, "region").where(F.col("open") | ((F.col("d") >= F.col("lo") - F.col("most")) & (F.col("d") <= F.col("hi") + F.col("most"))))
-    near = written(near.select("region", "depth", "node", "d", "reach", "bytes", "open", "most"), "near")
-    sums = near.groupBy("region").agg(F.count("*").alias("n"), F.sum(F.col("open").cast("long")).alias("n_open"), F.sum("bytes").alias("total"))
+    near = written(near.select("region", "depth", "node", "d", "reach", "weight", "open", "most"), "near")
+    sums = near.groupBy("region").agg(F.count("*").alias("n"), F.sum(F.col("open").cast("long")).alias("n_open"), F.sum("weight").alias("total"))
     small = (F.col("depth") > DEPTH) | ((F.col("n") * F.col("n_open") <= AREA) & (F.col("total") <= BYTES))
     return near.join(sums, "region").where("n > 1").withColumn("small", small)
 
@@ -247,8 +219,8 @@ def _divided(regions: DataFrame, items: DataFrame, metric: Metric, kind: str) ->
             yield pa.record_batch([b.column(0), pa.array(out, pa.list_(pa.int32()))], names=["row", "far"])
 
     members = regions.where(F.col("depth") < DEPTH).join(items.select("node", "sketch"), "node").join(pivots, "region")
-    row = F.struct("region", "depth", "node", "reach", "bytes", "open", "most", F.transform("pivots", lambda p: p["node"]).alias("at"))
-    kept = f"struct<region:string,depth:int,node:{kind},reach:int,bytes:int,open:boolean,most:int,at:array<{kind}>>"
+    row = F.struct("region", "depth", "node", "reach", "weight", "open", "most", F.transform("pivots", lambda p: p["node"]).alias("at"))
+    kept = f"struct<region:string,depth:int,node:{kind},reach:int,weight:int,open:boolean,most:int,at:array<{kind}>>"
     far = written(members.select(row.alias("row"), "sketch", "pivots").mapInArrow(run, f"row {kept}, far array<int>").select("row.*", "far"), "far")
     far = far.withColumn("low", F.array_min("far")).withColumn("home", F.array_position("far", F.array_min("far")) - 1)
     # how far the open items of a cell reach from its pivot
@@ -257,87 +229,65 @@ def _divided(regions: DataFrame, items: DataFrame, metric: Metric, kind: str) ->
         F.transform("far", lambda d, i: F.struct(F.element_at("at", i + 1).alias("pivot"), d.alias("d"), (F.col("open") & (F.col("home") == i)).alias("open"), F.element_at("wide", i.cast("long")).alias("hi"))),
         lambda c: c["open"] | ((c["d"] <= F.col("low") + 2 * F.col("most")) & (c["d"] <= c["hi"] + F.col("most"))),
     )
-    split = far.join(wide, "region").select("region", "depth", "node", "reach", "bytes", F.explode(cells).alias("c"))
-    split = split.select(F.concat_ws(".", "region", F.hex("c.pivot")).alias("region"), (F.col("depth") + 1).alias("depth"), "node", F.col("c.d").alias("d"), "reach", "bytes", F.col("c.open").alias("open"))
+    split = far.join(wide, "region").select("region", "depth", "node", "reach", "weight", F.explode(cells).alias("c"))
+    split = split.select(F.concat_ws(".", "region", F.hex("c.pivot")).alias("region"), (F.col("depth") + 1).alias("depth"), "node", F.col("c.d").alias("d"), "reach", "weight", F.col("c.open").alias("open"))
     # the grid: blocks of open items by blocks of members
     side = int(AREA**0.5)
     last = regions.where(F.col("depth") >= DEPTH)
     parts = lambda n: F.greatest(F.ceil(F.col(n) / side), F.ceil(F.col("total") / (BYTES // 4))).cast("int")
     part = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "node"), parts(n)).cast("int")
     name = lambda i, j: F.concat(F.col("region"), F.lit("#"), i, F.lit(","), j)
-    columns = lambda is_open: [F.lit(DEPTH + 1).alias("depth"), "node", F.lit(0).alias("d"), "reach", "bytes", F.lit(is_open).alias("open")]
+    columns = lambda is_open: [F.lit(DEPTH + 1).alias("depth"), "node", F.lit(0).alias("d"), "reach", "weight", F.lit(is_open).alias("open")]
     across = lambda n: F.explode(F.sequence(F.lit(0), parts(n) - 1))
     rows = last.where("open").select("*", across("n").alias("j")).select(name(part(1, "n_open"), F.col("j")).alias("region"), *columns(True))
     cols = last.select("*", across("n_open").alias("i")).select(name(F.col("i"), part(2, "n")).alias("region"), *columns(False))
-    grid = rows.union(cols).groupBy("region", "depth", "node").agg(F.max("d").alias("d"), F.max("reach").alias("reach"), F.max("bytes").alias("bytes"), F.max("open").alias("open"))
+    grid = rows.union(cols).groupBy("region", "depth", "node").agg(F.max("d").alias("d"), F.max("reach").alias("reach"), F.max("weight").alias("weight"), F.max("open").alias("open"))
     return split.union(grid)
 
 
-def _forests(rows: DataFrame, failed: DataFrame, metric: Metric, trees: int, kind: str) -> DataFrame:
-    """region, a, b: for each region, spanning forests of the pairs that may link."""
-    schema = f"region string, a {kind}, b {kind}"
-
-    def join(region: pd.DataFrame, barred: set) -> pd.DataFrame:
-        region = region.sort_values("node", ignore_index=True)
-        node, is_open = region["node"].tolist(), region["open"].to_numpy(bool)
-        label = pd.factorize(region["label"])[0]
-        size = region["size"].to_numpy(np.int64)
-        matrix = metric.matrix(region["sketch"].tolist())
-        left, right, dist = [], [], []
-        for i in np.flatnonzero(is_open).tolist():
-            d = metric.row(matrix, matrix[i])
-            ok = (d <= metric.most(size[i], size)) & (label != label[i])
-            ok[:i] &= ~is_open[:i]  # a pair of open items counts once
-            at = np.flatnonzero(ok)
-            if barred:
-                at = at[[(node[min(i, j)], node[max(i, j)]) not in barred for j in at.tolist()]] if len(at) else at
-            left.append(np.full(len(at), i, np.int32))
-            right.append(at.astype(np.int32))
-            dist.append(d[at])
-        pairs = forests(label, *(np.concatenate(x) if x else np.zeros(0, np.int32) for x in (left, right, dist)), trees)
-        found = [(min(node[i], node[j]), max(node[i], node[j])) for i, j in pairs]
-        return pd.DataFrame({"region": [region["region"][0]] * len(found), "a": [a for a, _ in found], "b": [b for _, b in found]}, dtype=object)
-
-    rows = rows.select("region", "node", "open", "label", "size", "sketch")
-    none = pd.DataFrame({"region": [], "a": [], "b": []}, dtype=object)
-    return rows.groupBy("region").cogroup(failed.groupBy("region")).applyInPandas(lambda r, f: join(r, set(zip(f["a"], f["b"], strict=True))) if len(r) else none, schema)
-
-
-def forests(label: np.ndarray, left: np.ndarray, right: np.ndarray, dist: np.ndarray, trees: int) -> list[tuple[int, int]]:
-    """Pairs of ``trees`` spanning forests without a common pair, each by increasing distance, of the graph
-    of these pairs over labels: every label takes its shortest pair, and labels that meet become one."""
+def _joined(regions: DataFrame, items: DataFrame, labels: DataFrame, metric: Metric, kind: str) -> DataFrame:
+    """(a, b): links that connect what all links within each region connect, given the labels."""
+
+    def join(region: pd.DataFrame) -> pd.DataFrame:
+        found = region_links(region.sort_values(["size", "node"], ignore_index=True), metric)
+        return pd.DataFrame({"a": [a for a, _ in found], "b": [b for _, b in found]}, dtype=object)
+
+    rows = _labelled(regions.select("region", "node", "open"), labels).join(items.drop("weight"), "node")
+    return rows.groupBy("region").applyInPandas(join, f"a {kind}, b {kind}")
+
+
+def region_links(region: pd.DataFrame, metric: Metric) -> list[tuple]:
+    """Links of one region, whose rows (node, open, label, size, sketch, payload) come by size."""
+    node, payload, is_open = region["node"].tolist(), region["payload"].tolist(), region["open"].to_numpy(bool)
+    label, size = pd.factorize(region["label"])[0], region["size"].to_numpy(np.int64)
+    matrix = metric.matrix(region["sketch"].tolist())
+    left, right, dist = [], [], []
+    for i in np.flatnonzero(is_open).tolist():
+        low, high = metric.partners(int(size[i]))
+        lo, hi = int(np.searchsorted(size, low)), int(np.searchsorted(size, high, "right"))
+        d = metric.row(matrix[lo:hi], matrix[i])
+        ok = (d <= metric.most(size[i], size[lo:hi])) & (label[lo:hi] != label[i])
+        ok[: max(0, i - lo)] &= ~is_open[lo:i]  # a pair of open items counts once
+        at = np.flatnonzero(ok)
+        left.append(np.full(len(at), i, np.int32))
+        right.append((at + lo).astype(np.int32))
+        dist.append(d[at])
+    left, right, dist = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (left, right, dist))
     order = np.argsort(dist, kind="stable")
     left, right = left[order], right[order]
-    out: list[tuple[int, int]] = []
-    for _ in range(trees):
-        if not len(left):
-            break
-        of, used = label.astype(np.int64), np.zeros(len(left), bool)
-        rest = np.arange(len(left))
-        while len(rest := rest[of[left[rest]] != of[right[rest]]]):
-            ends = np.concatenate((of[left[rest]], of[right[rest]]))
-            at = np.tile(np.arange(len(rest)), 2)
-            by = np.lexsort((at, ends))
-            first = np.unique(at[by][np.concatenate(([True], ends[by][1:] != ends[by][:-1]))])  # of each label
-            parent: dict[int, int] = {}
-
-            def find(x: int, parent: dict[int, int] = parent) -> int:
-                while (up := parent.get(x, x)) != x:
-                    parent[x] = parent.get(up, up)
-                    x = up
-                return x
-
-            for k in first.tolist():
-                e = rest[k]
-                a, b = find(int(of[left[e]])), find(int(of[right[e]]))
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
-                    used[e] = True
-            roots = np.arange(int(of.max()) + 1)
-            for x in list(parent):
-                roots[x] = find(x)
-            of = roots[of]
-        out += list(zip(left[used].tolist(), right[used].tolist(), strict=True))
-        left, right = left[~used], right[~used]
+    parent, out = np.arange(label.max(initial=-1) + 1), []
+    for lo in range(0, len(left), 4096):
+        i, j = left[lo : lo + 4096], right[lo : lo + 4096]
+        while not np.array_equal(up := parent[parent], parent):
+            parent = up
+        apart = parent[label[i]] != parent[label[j]]
+        for x, y in zip(i[apart].tolist(), j[apart].tolist(), strict=True):
+            a, b = label[x], label[y]
+            while parent[a] != a:
+                a = parent[a]
+            while parent[b] != b:
+                b = parent[b]
+            if a != b and metric.linked(payload[x], payload[y]):
+                parent[max(a, b)] = min(a, b)
+                out.append((node[x], node[y]))
     return out
-

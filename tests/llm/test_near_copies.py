@@ -65,7 +65,9 @@ def test_long_lines_meet_whenever_they_link():
     import numpy as np
 
     rng = random.Random(4)
-    points = lambda s: np.frombuffer(s.encode("utf-32-le"), np.uint32)
+    often = np.zeros(1 << line_dedup.COUNT_BITS, bool)
+    often[::2] = True
+    met = 0
     for _ in range(600):
         a = "".join(rng.choice("ab" if rng.random() < 0.2 else "abcdefgh ") for _ in range(rng.randint(line_dedup.LONG, 900)))
         b = a
@@ -74,8 +76,20 @@ def test_long_lines_meet_whenever_they_link():
             b = b[:at] + rng.choice(["", "x", b[at] + "y"]) + b[at + 1 :]
         k = line_dedup.allowed(min(len(a), len(b)))
         if min(len(a), len(b)) >= line_dedup.LONG and a != b and line_dedup.edit_distance(a, b, k) <= k:
-            x, y = ({key for keys in line_dedup.gram_keys(points(s), [c for c in line_dedup.spaces(len(s)) if c]) for key in keys.tolist()} for s in (a, b))
-            assert x & y
+            (space,) = {line_dedup.spaces(min(len(a), len(b)))[0]}
+            assert space in line_dedup.spaces(max(len(a), len(b)))
+            line, key = line_dedup.Joined([x.encode("utf-32-le") for x in (a, "z" * 500, b)]).keys(space, often)
+            assert set(key[line == 0].tolist()) & set(key[line == 2].tolist())
+            met += 1
+    assert met > 200
+
+
+def test_keys_of_a_line_do_not_depend_on_its_neighbours():
+    rng = random.Random(5)
+    lines = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(97, 127))) for _ in range(20)]
+    line, key = line_dedup.Joined([x.encode("utf-32-le") for x in lines]).keys(1)
+    for i, x in enumerate(lines):
+        assert key[line == i].tolist() == line_dedup.Joined([x.encode("utf-32-le")]).keys(1)[1].tolist()
 
 
 def test_the_edit_bound_grows_with_the_line(spark):
@@ -143,6 +157,8 @@ def points_on_a_line():
     import numpy as np
 
     class Line(regions.Metric):
+        bound = 12
+
         def matrix(self, sketches):
             return np.frombuffer(b"".join(sketches), np.int64)[:, None]
 
@@ -152,13 +168,19 @@ def points_on_a_line():
         def most(self, a, b):
             return 0 * (a + b) + 12
 
+        def partners(self, size):
+            return 1, 1
+
+        def linked(self, a, b):
+            return abs(int(a) - int(b)) <= self.bound
+
     return Line()
 
 
-@pytest.mark.parametrize(("area", "depth", "fails"), [(1 << 22, 4, 0), (300, 4, 0), (300, 4, 3), (60, 0, 0), (60, 1, 5)])
+@pytest.mark.parametrize(("area", "depth", "fails"), [(1 << 22, 4, 0), (300, 4, 3), (60, 0, 0), (60, 1, 5)])
 def test_regions_recurse_exactly(spark, monkeypatch, area, depth, fails):
     """One bucket of points on a line, joined in one task, by cells and by a grid; and with pairs near the
-    bound that sketches let pass and verification rejects."""
+    bound that sketches let pass and that don't link."""
     from pyspark.sql import functions as F
 
     monkeypatch.setattr(regions, "AREA", area)
@@ -167,48 +189,24 @@ def test_regions_recurse_exactly(spark, monkeypatch, area, depth, fails):
     rng = random.Random(2)
     points = sorted(rng.sample(range(1200), 80))
     rng.shuffle(points)
-    rows = [(i, 1, bytearray(int(x).to_bytes(8, "little"))) for i, x in enumerate(points)]
-    items = spark.createDataFrame(rows, "node long, size int, sketch binary")
-    place = spark.createDataFrame(list(enumerate(points)), "node long, x long")
-    asked = []
-
-    def verify(pairs):
-        asked.append(pairs.count())
-        a, b = (place.select(F.col("node").alias(n), F.col("x").alias(f"{n}x")) for n in "ab")
-        return pairs.join(a, "a").join(b, "b").select("a", "b", (F.abs(F.col("ax") - F.col("bx")) <= 12 - fails).alias("linked"))
-
-    pairs = regions.pivot_pairs(regions.shared(place.select(F.lit(1).alias("key"), "node")))
+    rows = [(i, 1, 20, bytearray(int(x).to_bytes(8, "little")), str(x)) for i, x in enumerate(points)]
+    items = spark.createDataFrame(rows, "node long, size int, weight int, sketch binary, payload string")
+    metric = points_on_a_line()
+    metric.bound -= fails
+    pairs = regions.pivot_pairs(regions.shared(items.select(F.lit(1).alias("key"), "node")))
     assert pairs.count() == 79
-    links = regions.links_in_regions(pairs, items, points_on_a_line(), verify)
+    links = regions.links_in_regions(pairs, items, metric)
+    assert links.count() < 3 * 80
     got = {r.node: r.component for r in components(links).collect()}
     want = brute.groups(range(80), lambda a, b: abs(points[a] - points[b]) <= 12 - fails)
     assert {k: got.get(k, k) for k in range(80)} == want
-    assert sum(asked) < 8 * 80
-
-
-def test_forests_span_and_do_not_repeat():
-    import numpy as np
-
-    rng = random.Random(8)
-    for _ in range(50):
-        n = rng.randint(2, 12)
-        pairs = [(i, j) for i in range(n) for j in range(i + 1, n) if rng.random() < 0.6]
-        if not pairs:
-            continue
-        left, right = (np.array(x) for x in zip(*pairs, strict=True))
-        dist, label = np.array([rng.randint(0, 3) for _ in pairs]), np.arange(n)
-        one = regions.forests(label, left, right, dist, 1)
-        two = regions.forests(label, left, right, dist, 2)
-        assert len(set(two)) == len(two) and set(one) <= set(two) <= set(pairs) and len(one) < n
-        joined = lambda edges: brute.groups(range(n), lambda a, b: (a, b) in edges)
-        assert joined(set(one)) == joined(set(pairs))
 
 
 def test_sketches_never_exceed_the_difference():
     import numpy as np
 
     rng = random.Random(9)
-    parity, counts = regions.Parity(80), regions.Counts(lambda x: x)
+    parity, edits = regions.Parity(80), line_dedup.Edits()
     for _ in range(300):
         a = {rng.getrandbits(64) for _ in range(rng.randint(1, 300))}
         b = set(list(a)[: rng.randint(1, len(a))]) | {rng.getrandbits(64) for _ in range(rng.randint(0, 60))}
@@ -216,7 +214,9 @@ def test_sketches_never_exceed_the_difference():
         assert parity.row(m, m[0])[1] <= len(a ^ b)
         if 100 * len(a & b) >= 80 * len(a | b):
             assert len(a ^ b) <= parity.most(np.int64(len(a)), np.int64(len(b)))
+            low, high = parity.partners(len(a))
+            assert low <= len(b) <= high
         x = "".join(rng.choice("abcdef ") for _ in range(rng.randint(1, 30)))
         y = "".join(c for c in x if rng.random() < 0.8) + "z" * rng.randint(0, 3)
-        m = counts.matrix([regions.Counts.sketch(np.array([ord(c) for c in s], np.int64)) for s in (x, y)])
-        assert counts.row(m, m[0])[1] <= 2 * brute.edit_distance(x, y)
+        m = edits.matrix(line_dedup._sketches([x, y]))
+        assert edits.row(m, m[0])[1] <= 2 * brute.edit_distance(x, y)
