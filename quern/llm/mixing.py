@@ -11,13 +11,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD
+from .common import SPACE, WORD, written
 from .prefix import running_totals
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
 #: No source, and no document, is taken more often than this.
 MOST_EPOCHS = 3
+#: Boundaries of so many sources at most are broadcast (some 20 MB); more are joined.
+MOST_SOURCES = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -46,45 +48,67 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return s.select("rank", "source", "source_size", "weight", target.alias("target"))
 
 
-def mix_to_weights(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS, seed: str = "mix-1", carry: list[str] | None = None) -> DataFrame:
+def _key(seed: str) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+
+
+def _cut(documents: DataFrame, weights: tuple[int, ...], most: int, seed: str, carry: dict[str, Column]) -> DataFrame:
+    """Ids and sizes, no texts: doc_id, key, size, before (the words of the source's rows that sort
+    earlier), rank, source, source_size, target, epochs, rest and ``carry``."""
+    sized = written(documents.select("doc_id", "source", word_count(F.col("text")).alias("size"), *[c.alias(n) for n, c in carry.items()]), "sized")
+    goals = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
+    goals = goals.withColumn("epochs", F.when(F.col("source_size") > 0, F.expr("floor(target) div source_size")).otherwise(F.lit(0)))
+    goals = goals.withColumn("rest", F.floor("target") - F.col("epochs") * F.col("source_size"))
+    keyed = sized.join(goals.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "weight").withColumn("key", _key(seed))
+    return running_totals(keyed, "rank", ["key", "doc_id", "size", *carry], "size", "before")
+
+
+def mix_to_weights(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS, seed: str = "mix-1") -> DataFrame:
     """For each row of ``documents`` (doc_id, text, source): its size in words, its source's size and
-    target, and the words taken of it; ``carry`` names columns to keep beside them.
+    target, and the words taken of it.
 
     Each source is taken whole as often as its target holds it, then once more in random order up to
     the exact remainder; the document at the cut gives only the words still wanted. The order is that of
     md5(seed:doc_id), so reruns agree on any cluster.
     """
-    carry = carry or []
-    sized = documents.select("doc_id", "source", word_count(F.col("text")).alias("size"), *carry)
-    goals = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
-    keyed = sized.join(goals, sized["source"].eqNullSafe(goals["source"])).select(
-        "doc_id", "rank", "size", "source_size", "target", *[sized[c] for c in carry], F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("key")
-    )
-    cut = running_totals(keyed, "rank", ["key", "doc_id", "size"], "size", "before")
-    budget = F.floor("target")
-    epochs = F.when(F.col("source_size") > 0, F.expr("floor(target) div source_size")).otherwise(F.lit(0))
-    rest = budget - epochs * F.col("source_size")
-    taken = epochs * F.col("size") + F.greatest(F.lit(0).cast("long"), F.least("size", rest - F.col("before")))
-    return cut.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), *carry)
-
-
-def mixed(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
+    cut = _cut(documents, weights, most, seed, {})
+    taken = F.col("epochs") * F.col("size") + F.greatest(F.lit(0).cast("long"), F.least("size", F.col("rest") - F.col("before")))
+    return cut.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+
+
+def mixed(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS, seed: str = "mix-1") -> DataFrame:
     """The mix itself: each document as often as it is taken whole, and once more up to its last word
     taken if it is cut. Columns are those of ``documents``; n_chars follows the text.
 
-    Only ids, sizes and a hash of the text go through the prefix sums; texts move once, to meet them.
+    Only ids, sizes and a hash of the text go through the prefix sums. They give one boundary for each
+    source: the place in its order where the last epoch ends. Texts stay where they are, and each row is
+    held against its source's boundary. Rows that are equal in id, source and text are told apart only
+    where the boundary falls among them.
     """
     columns = documents.columns
-    same = ["doc_id", "_source", "_hash"]
-    nth = F.row_number().over(Window.partitionBy(*same).orderBy("_hash"))
-    rows = documents.withColumn("_source", F.col("source")).withColumn("_hash", F.xxhash64("text"))
-    taken = mix_to_weights(rows, weights, most, carry=["_source", "_hash"]).withColumn("_nth", nth).where("taken > 0")
-    rows = rows.withColumn("_nth", nth)
-    t = taken.select(F.col("doc_id").alias("_d"), F.col("_source").alias("_s"), F.col("_hash").alias("_h"), F.col("_nth").alias("_k"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
-    met = rows.join(t, rows["doc_id"].eqNullSafe(t["_d"]) & rows["_source"].eqNullSafe(t["_s"]) & (rows["_hash"] == t["_h"]) & (rows["_nth"] == t["_k"]))
-    met = met.withColumn("_whole", F.expr("_taken div _size")).withColumn("_rest", F.expr("cast(_taken % _size as int)"))
-    each = met.withColumn("_copy", F.explode(F.expr("sequence(1, cast(_whole as int) + if(_rest > 0, 1, 0))")))
+    cut = _cut(documents, weights, most, seed, {"hash": F.xxhash64("text")})
+    place = ["key", "doc_id", "size", "hash"]
+    equal = cut.groupBy("rank", "source", "epochs", "rest", *place).agg(F.min("before").alias("first"), F.count("*").alias("n"))
+    last = F.min(F.when(F.col("first") + F.col("size") * F.col("n") > F.col("rest"), F.struct(*place, (F.col("rest") - F.col("first")).alias("left"), "n"))).alias("_last")
+    bounds = written(equal.groupBy("rank", F.col("source").alias("_source"), F.col("epochs").alias("_epochs")).agg(last).drop("rank"), "bounds")
+    wide = bounds.count() > MOST_SOURCES
+    rows = documents.withColumn("_row", F.struct(_key(seed).alias("key"), "doc_id", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("hash")))
+    rows = rows.join(bounds if wide else F.broadcast(bounds), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    edge = F.col("_last").isNotNull() & (F.col("_row") == F.struct(*[F.col("_last")[c].alias(c) for c in place]))
+    rows = rows.withColumn("_edge", F.coalesce(edge, F.lit(False))).withColumn("_nth", F.lit(0))
+    if not bounds.where("_last.n > 1").isEmpty():
+        # only rows at a boundary that falls among equal rows are numbered
+        many = F.col("_edge") & (F.col("_last.n") > 1)
+        number = F.row_number().over(Window.partitionBy("_row").orderBy(F.xxhash64(*[c for c, kind in documents.dtypes if not kind.startswith("map")]))) - 1
+        rows = rows.where(~many).unionByName(rows.where(many).withColumn("_nth", number))
+    size = F.col("_row.size")
+    left = F.greatest(F.lit(0).cast("long"), F.least(size, F.col("_last.left") - F.col("_nth") * size))
+    before = F.col("_last").isNull() | (F.col("_row") < F.struct(*[F.col("_last")[c].alias(c) for c in place]))
+    extra = F.when(F.col("_edge"), left).when(before, size).otherwise(F.lit(0).cast("long"))
+    rows = rows.withColumn("_rest", F.when(extra < size, extra).otherwise(0).cast("int")).withColumn("_whole", (F.col("_epochs") + F.when((extra == size) & (size > 0), 1).otherwise(0)).cast("int"))
+    rows = rows.where((size > 0) & (F.col("_whole") + F.col("_rest") > 0))
+    each = rows.withColumn("_copy", F.explode(F.expr("sequence(1, _whole + if(_rest > 0, 1, 0))")))
     words = F.regexp_extract_all("text", F.lit(rf"[{SPACE}]*{WORD}"), F.lit(0))
-    cut = F.array_join(F.slice(words, F.lit(1), F.col("_rest")), "")
-    each = each.withColumn("text", F.when(F.col("_copy") > F.col("_whole"), cut).otherwise(F.col("text")))
-    return each.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else c for c in columns])
+    part = F.array_join(F.slice(words, F.lit(1), F.col("_rest")), "")
+    each = each.withColumn("text", F.when(F.col("_copy") > F.col("_whole"), part).otherwise(F.col("text")))
+    return each.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in columns])

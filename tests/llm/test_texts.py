@@ -122,6 +122,30 @@ def test_mixing(spark, corpus, documents):
     for r in mixing.mixed(documents).collect():
         words[r.source] = words.get(r.source, 0) + len(brute.WORD.findall(r.text))
     assert words == {s: n for s, n in taken.items() if n}
+    got = {}
+    for r in mixing.mixed(documents).collect():
+        got[r.doc_id] = got.get(r.doc_id, 0) + len(brute.WORD.findall(r.text))
+    assert got == {r.doc_id: r.taken for r in rows if r.taken}
+
+
+@pytest.mark.parametrize("sources", [100_000, 0])
+def test_mixing_cuts_among_equal_rows(spark, monkeypatch, sources):
+    """Boundaries that fall among rows without ids, and rows that repeat; broadcast and joined."""
+    monkeypatch.setattr(mixing, "MOST_SOURCES", sources)
+    rows = [(None, "one two three", "a", 1)] * 40 + [(7, "four five", "b", 2)] * 30 + [(7, "six seven", "b", 3)] * 25 + [(None, None, None, 4), (3, " ", "c", 5)] + [(4, "x y z w", "c", 6)] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, last long").withColumn("n_chars", F.length("text").cast("long")).repartition(5)
+    taken, target = {}, {}
+    for r in mixing.mix_to_weights(docs).collect():
+        taken[r.source_size] = taken.get(r.source_size, 0) + r.taken
+        target[r.source_size] = int(r.target + 1e-6)
+    assert taken == target
+    words = {}
+    mixed = mixing.mixed(docs)
+    assert mixed.columns == docs.columns
+    for r in mixed.collect():
+        words[r.source] = words.get(r.source, 0) + len(brute.WORD.findall(r.text))
+        assert r.n_chars == len(r.text)
+    assert words == {s: target[n] for s, n in (("a", 120), ("b", 110), ("c", 20)) if target[n]}
 
 
 def test_mixing_odd_cases(odd_documents, no_documents):
