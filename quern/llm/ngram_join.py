@@ -140,7 +140,7 @@ def _sets(documents: DataFrame, n: int) -> DataFrame:
 
 
 def _buckets(documents: DataFrame, n: int, percent: int, common: np.ndarray) -> DataFrame:
-    """(key, node) of each distinct set of each task; its first document stands for the set."""
+    """(key, node, size) of each distinct set of each task; its first document stands for the set."""
     held_common = documents.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +154,7 @@ def _buckets(documents: DataFrame, n: int, percent: int, common: np.ndarray) ->
                 seen.add(h)
                 for k in keys(s):
                     found.append(k)
-                    nodes.append((doc, len(k)))
+                    nodes.append((doc, len(s), len(k)))
                     held += len(k)
                 if held > 500_000:
                     yield _rows(found, nodes)
@@ -162,12 +162,12 @@ def _buckets(documents: DataFrame, n: int, percent: int, common: np.ndarray) ->
             if found:
                 yield _rows(found, nodes)
 
-    return documents.mapInArrow(run, "key long, node long")
+    return documents.mapInArrow(run, "key long, node long, size int")
 
 
-def _rows(found: list[np.ndarray], nodes: list[tuple[int, int]]) -> pa.RecordBatch:
-    ids, counts = np.array(nodes, np.int64).T
-    return pa.record_batch([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(ids, counts))], names=["key", "node"])
+def _rows(found: list[np.ndarray], nodes: list[tuple[int, int, int]]) -> pa.RecordBatch:
+    ids, sizes, counts = np.array(nodes, np.int64).T
+    return pa.record_batch([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(ids, counts)), pa.array(np.repeat(sizes, counts).astype(np.int32))], names=["key", "node", "size"])
 
 
 def _payloads(documents: DataFrame, n: int, wanted: IdFilter) -> DataFrame:
@@ -202,7 +202,7 @@ def ngram_links(documents: DataFrame, n: int = 5, percent: int = 80) -> tuple[Da
     slots = np.array(sorted(r["h1"] for r in common.select("h1").collect()), np.int64)
     some = sets.where("n_shingles > 0 and doc_id is not null")
     copies = some.join(some.groupBy("h1", "h2").agg(F.min("doc_id").alias("b")), ["h1", "h2"]).where("doc_id != b").select(F.col("doc_id").alias("a"), "b")
-    buckets = written(shared(_buckets(docs, n, percent, slots)), "buckets")
+    buckets = written(shared(_buckets(docs, n, percent, slots), F.ceil(F.col("size") * percent / 100)), "buckets")
     nodes = written(buckets.select("node").distinct(), "nodes")
     payloads = _payloads(docs, n, IdFilter(nodes))
     if not some.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():  # one text for each id, the same on each run

@@ -29,7 +29,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import release, written
@@ -106,12 +106,21 @@ class Parity(Metric):
         return 100 * same >= self.percent * (len(both) - same)
 
 
-def shared(buckets: DataFrame) -> DataFrame:
-    """The rows (key, node, ...) of buckets with two nodes or more, by a window that looks one row ahead and
-    one back, so its memory doesn't depend on a bucket's size."""
-    by = Window.partitionBy("key").orderBy("node")
-    beside = F.coalesce(F.lag("node").over(by) != F.col("node"), F.lit(False)) | F.coalesce(F.lead("node").over(by) != F.col("node"), F.lit(False))
-    return buckets.withColumn("_beside", beside).where("_beside").drop("_beside")
+def shared(buckets: DataFrame, least: Column) -> DataFrame:
+    """The buckets (key, node, size, ...) cut where sizes are too far apart, without rows that are alone.
+
+    ``least`` is the size of the smallest partner that a row may link with. Rows of a bucket by size form
+    runs in which each has the one before within reach; partners are always in one run. The window looks
+    one row ahead and one back, so its memory doesn't depend on a bucket's size.
+    """
+    by = Window.partitionBy("key").orderBy("size", "node")
+    rows = buckets.withColumn("_least", least)
+    near = F.coalesce(F.lag("size").over(by) >= F.col("_least"), F.lit(False))
+    rows = rows.withColumn("_run", F.sum(F.when(near, 0).otherwise(1)).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    same = lambda f: F.coalesce((f("node").over(by) != F.col("node")), F.lit(False))
+    ahead = F.coalesce(F.col("size") >= F.lead("_least").over(by), F.lit(False))
+    rows = rows.withColumn("_beside", (near & same(F.lag)) | (ahead & same(F.lead)))
+    return rows.where("_beside").withColumn("key", F.when(F.col("_run") == 1, F.col("key")).otherwise(F.xxhash64("key", "_run"))).drop("_least", "_run", "_beside", "size")
 
 
 def pivot_pairs(buckets: DataFrame, seed: str | None = None) -> DataFrame:
