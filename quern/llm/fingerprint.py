@@ -1,6 +1,7 @@
 """Document fingerprints by winnowing, with native operators only.
 
-A text is cut into units, runs of at most UNIT characters without white space. Each K consecutive units
+A text is cut into units, runs of at most UNIT characters without white space; characters of scripts that
+are written without spaces between words (Chinese, Japanese, Korean) are units each. Each K consecutive units
 give one hash of a rolling polynomial over the units' hashes; of each W consecutive hashes the smallest
 is kept, the rightmost of equal ones, with its position. Any passage of K + W - 1 units that two texts
 share therefore gives them a common hash (the match guarantee), and no common hash stems from less than
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import SPACE, written
 
 K, W, UNIT = 3, 8, 16
+#: Ideographs, kana and hangul, as a set of a pattern.
+ALONE = r"\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uAC00-\uD7AF\uF900-\uFAFF"
 #: Of the rolling polynomial: a prime below 2^31, so that products stay below 2^63, and a base.
 PRIME, BASE = 2147483629, 1000003
 
@@ -32,7 +35,7 @@ def winnow(text: Column) -> Column:
 
     The packing makes the plain minimum of a window its smallest hash and, of equal ones, the rightmost.
     """
-    units = F.regexp_extract_all(text, F.lit(rf"[^{SPACE}]{{1,{UNIT}}}"), F.lit(0))
+    units = F.regexp_extract_all(text, F.lit(rf"[^{SPACE}{ALONE}]{{1,{UNIT}}}|[{ALONE}]"), F.lit(0))
     hashes = F.transform(units, lambda u: F.pmod(F.xxhash64(u), F.lit(PRIME)))
 
     def grams(h: Column) -> Column:

@@ -104,17 +104,18 @@ def battery(value: Column) -> Column:
     has = lambda p: F.regexp_like(value, F.lit(p))
     mixed = has("[0-9]") & has("[A-Za-z]")
     alphabet = (
-        F.when(~mixed, F.lit(None).cast("string"))
-        .when(~has("[^0-9a-f]") | ~has("[^0-9A-F]"), F.lit("0123456789abcdef"))
+        F.when(~has("[^0-9a-f]") | ~has("[^0-9A-F]"), F.lit("0123456789abcdef"))
         .when(~has("[^A-Z2-7]"), F.lit("abcdefghijklmnopqrstuvwxyz234567"))
         .when(~has("[^0-9a-z]") | ~has("[^0-9A-Z]"), F.lit("0123456789abcdefghijklmnopqrstuvwxyz"))
         .when(~has("[^0-9A-Za-z]"), F.lit("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"))
         .otherwise(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"))
     )
-    small = F.length(alphabet) <= 36
-    text = F.when(small, F.lower(value)).otherwise(value)
-    size = F.least(F.length(alphabet), F.lit(64)).cast("double")  # two spellings of the last two signs
-    codes = F.transform(F.split(text, ""), lambda c: F.least(F.instr(alphabet, c) - 1, F.lit(63)).cast("double"))
+
+    def coded(letters: Column) -> Column:
+        text = F.when(F.length(letters) <= 36, F.lower(value)).otherwise(value)
+        size = F.least(F.length(letters), F.lit(64)).cast("double")  # two spellings of the last two signs
+        codes = F.transform(F.split(text, ""), lambda c: F.least(F.instr(letters, c) - 1, F.lit(63)).cast("double"))
+        return _bound(F.struct(codes.alias("x"), size.alias("k")), tests)
 
     def tests(p: Column) -> Column:
         x, k = p["x"], p["k"]
@@ -137,7 +138,7 @@ def battery(value: Column) -> Column:
         chi_p = F.when(chi_z >= 0, _tail(F.abs(chi_z))).otherwise(1 - _tail(F.abs(chi_z)))
         return F.least(F.lit(1.0), 3 * F.least(chi_p, 2 * _tail(runs_z), 2 * _tail(serial_z)))
 
-    return F.when(alphabet.isNotNull(), _bound(F.struct(codes.alias("x"), size.alias("k")), tests))
+    return F.when(mixed, _bound(alphabet, coded))
 
 
 def rejected(candidates: DataFrame, level: float = LEVEL) -> DataFrame:
@@ -150,13 +151,26 @@ def rejected(candidates: DataFrame, level: float = LEVEL) -> DataFrame:
     return rows.where(F.exp(-F.col("step") / STEPS) <= level * F.col("rank") / F.col("m")).groupBy("class").agg(F.min("step").alias("cut"))
 
 
+def _overlap(a: Column, b: Column) -> Column:
+    return (a["start"] < b["end"]) & (b["start"] < a["end"])
+
+
+def _pieces(spans: Column) -> Column:
+    """Spans by start, in pieces of the root of their number with where each piece starts and ends, so that
+    a search looks at few of them."""
+    size = F.ceil(F.sqrt(F.size(spans))).cast("int")
+    cut = lambda x: F.transform(F.sequence(F.lit(1), F.size(x), size), lambda lo: F.slice(x, lo, size))
+    row = lambda p: F.struct(p.alias("spans"), F.element_at(p, 1)["start"].alias("start"), F.array_max(F.transform(p, lambda s: s["end"])).alias("end"))
+    return F.transform(_bound(F.array_sort(spans), cut), row)
+
+
 def scan(documents: DataFrame, level: float = LEVEL) -> DataFrame:
     """doc_id, spans (array of start, end, kind, value) and base, the known ones among them."""
     text = F.coalesce("text", F.lit(""))
     base = F.concat(*[_spans(text, *b, HINTS[b[0]]) for b in BASE])
     other = _spans(text, KIND, CANDIDATE, 0, LEAST, HINT)
     rows = documents.select("doc_id", base.alias("base"), other.alias("other"))
-    free = F.filter("other", lambda o: ~F.exists("base", lambda s: (s["start"] < o["end"]) & (o["start"] < s["end"])))
+    free = F.when(F.size("base") > 0, _bound(_pieces(F.col("base")), lambda p: F.filter("other", lambda o: ~F.exists(p, lambda q: _overlap(q, o) & F.exists(q["spans"], lambda s: _overlap(s, o)))))).otherwise(F.col("other"))
     rows = rows.withColumn("other", F.when(F.size("other") > 0, free).otherwise(F.col("other")))
     step = lambda p: F.floor(-F.log(p) * STEPS).cast("int")
     place = lambda v: sum((F.when(F.length(v) >= c, 1).otherwise(0) for c in CLASSES), F.lit(0))

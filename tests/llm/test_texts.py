@@ -1,11 +1,14 @@
 from __future__ import annotations
 
 import hashlib
+import math
+import os
 import re
 import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from quern.llm import chat, fingerprint, mixing, packing, secrets, tokens, topk_search
@@ -13,20 +16,37 @@ from quern.llm.registry import tokenizer_path
 
 from . import brute
 
-UNIT = re.compile(r"[^\x20\x09-\x0D]{1,16}")
+CJK = "\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7af\uf900-\ufaff"
+UNIT = re.compile(rf"[^\x20\x09-\x0D{CJK}]{{1,16}}|[{CJK}]")
 
 
 def winnowed(text):
-    """Positions that winnowing keeps, given a hash for each position."""
-    units = UNIT.findall(text)
-    n = max(1, len(units) - fingerprint.K + 1) if units else 0
-    return n
+    """(position, hash) of the entries that winnowing keeps, window by window."""
+    h = [xxhash.xxh64_intdigest(u.encode(), seed=42) for u in UNIT.findall(text)]
+    h = [(x - (1 << 64) if x >> 63 else x) % fingerprint.PRIME for x in h]
+    grams = []
+    for i in range(max(1, len(h) - fingerprint.K + 1) if h else 0):
+        value = 0
+        for x in h[i : i + fingerprint.K]:
+            value = (value * fingerprint.BASE + x) % fingerprint.PRIME
+        grams.append(value)
+    kept = []
+    for i in range(max(1, len(grams) - fingerprint.W + 1) if grams else 0):
+        least = min((g, -(i + j)) for j, g in enumerate(grams[i : i + fingerprint.W]))
+        if (-least[1], least[0]) not in kept[-1:]:
+            kept.append((-least[1], least[0]))
+    return kept
 
 
 def entries(fp):
     return [(int(p), int(h, 16)) for p, h in (e.split(":") for e in fp.split(","))] if fp else []
 
 
+def dice(x, y):
+    a, b = {h for _, h in x}, {h for _, h in y}
+    return 2 * len(a & b) / (len(a) + len(b)) if a or b else 1.0
+
+
 def test_fingerprints(spark, corpus, documents):
     got = {r.doc_id: r for r in fingerprint.compare_with_edits(documents).collect()}
     texts = {r[0]: r[1] or "" for r in corpus}
@@ -39,16 +59,29 @@ def test_fingerprints(spark, corpus, documents):
         r = got[d]
         assert r.n_chars == len(text) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
         assert by_text.setdefault(text, r.fingerprint) == r.fingerprint
-        kept, n = entries(r.fingerprint), winnowed(text)
-        places = [p for p, _ in kept]
-        assert places == sorted(set(places)) and bool(kept) == bool(n)
-        gaps = np.diff([-1, *places, n])
-        assert not n or max(gaps) <= fingerprint.W  # every window has one
-        a, b = {h for _, h in kept}, {h for _, h in entries(r.edited_fingerprint)}
-        assert r.near_edited == pytest.approx(2 * len(a & b) / (len(a) + len(b)) if a or b else 1.0)
+        a, b, c = winnowed(text), winnowed(edited), winnowed(after)
+        assert entries(r.fingerprint) == a and entries(r.edited_fingerprint) == b
+        assert r.near_edited == pytest.approx(dice(a, b)) and r.near_next == pytest.approx(dice(a, c))
     assert got[82].fingerprint == "" and got[80].fingerprint == ""
 
 
+def test_fingerprints_of_odd_cases(odd_documents, no_documents):
+    assert fingerprint.compare_with_edits(no_documents).count() == 0
+    rows = fingerprint.compare_with_edits(odd_documents.withColumn("a", F.lit(1)).withColumn("next", F.lit(2)).withColumn("bucket", F.lit(3))).collect()
+    assert len(rows) == 5 and sorted(r.n_chars for r in rows) == [0, 5, 13, 28, 28]
+    ids = sorted((r for r in rows if r.doc_id == 1), key=str)
+    assert ids[0].fingerprint == ids[1].fingerprint and {r.near_next for r in ids} >= {1.0}
+
+
+def test_shifted_passages_without_spaces_share_hashes(spark):
+    import random
+
+    rng = random.Random(3)
+    passage = "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(60))
+    rows = fingerprint.fingerprints(spark.createDataFrame([(1, passage), (2, "漢" + passage)], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert dice(*(entries(r.fingerprint) for r in rows)) > 0.8
+
+
 def test_shared_passages_share_a_hash(spark):
     passage = " ".join(f"w{i}" for i in range(fingerprint.K + fingerprint.W - 1))
     texts = [f"{'x ' * i}{passage} {'y ' * (7 - i)}" for i in range(8)]
@@ -93,22 +126,25 @@ def test_tokens_equal_the_library(text):
     assert np.frombuffer(tokens.ByteBpe(tokenizer_path()).encode(text), "<u4").tolist() == Tokenizer.from_file(tokenizer_path()).encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_tokens_equal_the_library_on_whole_documents():
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()
+    fast, whole = tokens.ByteBpe(tokenizer_path()), Tokenizer.from_file(tokenizer_path())
+    assert len(texts) == 1000
+    for t in texts:
+        assert np.frombuffer(fast.encode(t or ""), "<u4").tolist() == whole.encode(t or "", add_special_tokens=False).ids
+
+
 def test_mixing(spark, corpus, documents):
     rows = mixing.mix_to_weights(documents).collect()
     size = {r[0]: len(brute.WORD.findall(r[1] or "")) for r in corpus}
-    by_source, weight = {}, {"a": 5, "b": 2, "c": 1, None: 5}
+    by_source = {}
     for r in corpus:
         by_source[r[3]] = by_source.get(r[3], 0) + size[r[0]]
-    left, full, target = sum(by_source.values()), {}, {}
-    while True:  # fill up, share what is left
-        rest = [s for s in by_source if s not in full]
-        target = {s: full.get(s, left * weight[s] / max(1, sum(weight[x] for x in rest))) for s in by_source}
-        over = [s for s in rest if target[s] > 3 * by_source[s]]
-        if not over:
-            break
-        for s in over:
-            full[s] = 3.0 * by_source[s]
-            left -= full[s]
+    target = brute.targets(by_source)
     source = {r[0]: r[3] for r in corpus}
     taken = {}
     for r in rows:
@@ -188,6 +224,93 @@ def test_secrets(spark, corpus):
     assert "random" not in got[len(odd) - 2].spans
 
 
+def battery(value):
+    """The p-value by the plain formulas, and the alphabet inferred."""
+    if not (re.search("[0-9]", value) and re.search("[A-Za-z]", value)):
+        return None
+    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    if re.fullmatch("[0-9a-f]+|[0-9A-F]+", value):
+        value, alphabet = value.lower(), digits + "abcdef"
+    elif re.fullmatch("[A-Z2-7]+", value):
+        value, alphabet = value.lower(), lower + "234567"
+    elif re.fullmatch("[0-9a-z]+|[0-9A-Z]+", value):
+        value, alphabet = value.lower(), digits + lower
+    else:
+        alphabet = digits + upper + lower if value.isalnum() else upper + lower + digits + "+/-_"
+    k = min(len(alphabet), 64)
+    x = np.array([min(alphabet.index(c), 63) for c in value], float)
+    n = len(x)
+    tail = lambda z: max(1e-300, 0.5 * math.erfc(z / math.sqrt(2)))
+    counts = np.bincount(x.astype(int), minlength=k)
+    chi, df = float(((counts - n / k) ** 2 / (n / k)).sum()), k - 1
+    z = ((max(chi, 0) / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
+    chi_p = tail(z) if z >= 0 else 1 - tail(-z)
+    high = x >= k / 2
+    ones, runs = int(high.sum()), 1 + int((high[1:] != high[:-1]).sum())
+    expected = 2 * ones * (n - ones) / n + 1
+    runs_z = math.sqrt(n) if ones in (0, n) else abs(runs - expected) / math.sqrt(max((expected - 1) * (expected - 2) / (n - 1), 1e-9))
+    d = x - x.mean()
+    serial_z = math.sqrt(n) if not d.any() else abs((d[1:] * d[:-1]).sum() / (d * d).sum() + 1 / n) * math.sqrt(n)
+    return min(1.0, 3 * min(chi_p, 2 * tail(runs_z), 2 * tail(serial_z)))
+
+
+def planted(rng, n):
+    """Random keys in five encodings, and long names, paths and numbers that are none."""
+    digits, upper = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    lower = upper.lower()
+    alphabets = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", digits + lower, digits + upper + lower, digits + upper + lower + "+/", digits + upper + lower + "-_")
+    keys = []
+    while len(keys) < n:
+        k = "".join(rng.choice(alphabets[len(keys) % 5]) for _ in range(rng.choice((24, 32, 40, 64, 88))))
+        if re.search("[0-9]", k) and re.search("[A-Za-z]", k) and not k.startswith("AKIA"):
+            keys.append(k)
+    words = ["data", "input", "server", "config", "index", "table", "result", "user", "account", "session", "value", "report", "module", "test", "main"]
+    makers = (
+        lambda: "_".join(rng.choice(words) for _ in range(5)) + f"_{rng.randrange(100)}",
+        lambda: "/".join(rng.choice(words) for _ in range(6)) + f"/{rng.randrange(2000, 2030)}",
+        lambda: "".join(rng.choice(words).capitalize() for _ in range(6)) + str(rng.randrange(10)),
+        lambda: "-".join(rng.choice(words) for _ in range(6)) + f"-v{rng.randrange(10)}",
+        lambda: rng.choice("xyz") + str(rng.randrange(10)) + "0" * 24,
+    )
+    return keys, [makers[i % len(makers)]() for i in range(n)]
+
+
+def test_battery_equals_the_plain_formulas(spark):
+    import random
+
+    rng = random.Random(12)
+    keys, names = planted(rng, 60)
+    values = [*keys, *names, "0" * 24, "a" * 30, "deadbeef" * 4, "a1" * 12]
+    rows = spark.createDataFrame([(v,) for v in values], "v string").select("v", secrets.battery(F.col("v")).alias("p")).collect()
+    for r in rows:
+        assert r.p == pytest.approx(battery(r.v), rel=1e-3, abs=1e-6) if battery(r.v) is not None else r.p is None
+
+
+def test_battery_tells_keys_from_names(spark):
+    """Planted keys that no pattern knows, in prose: how many are found, and how many of what is found."""
+    import random
+
+    rng = random.Random(13)
+    keys, names = planted(rng, 300)
+    texts = [(i, f"see the line {x} for more") for i, x in enumerate(keys + names)]
+    got = {r.doc_id: r.spans for r in secrets.find_secrets(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    found = {i for i, spans in got.items() if "random:13:" in spans}
+    hits = len(found & set(range(len(keys))))
+    assert hits / len(keys) >= 0.9 and hits / len(found) >= 0.9, (hits, len(found))
+
+
+def test_secrets_in_very_long_texts(spark):
+    """Time and stack don't grow with the square of a run, nor of the number of spans."""
+    import time
+
+    key = "0123456789abcdef01234567"
+    texts = [(1, "k" * 1_000_000), (2, f"{key} " * 20_000), (3, "a1" * 300_000), (4, "password=abcdef1 " * 30_000), (5, "/" * 500_000 + "1a")]
+    began = time.perf_counter()
+    got = {r.doc_id: r for r in secrets.find_secrets(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert time.perf_counter() - began < 60
+    assert got[2].n_hex == 20_000 and got[2].spans.endswith(f"hex:{25 * 19_999}:{25 * 19_999 + 24}") and got[4].n_assign == 30_000 and got[1].spans == ""
+
+
 def test_secrets_odd_cases(odd_documents, no_documents):
     assert secrets.find_secrets(no_documents).count() == 0 and secrets.find_secrets(odd_documents).count() == 5
 
