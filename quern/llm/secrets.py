@@ -117,26 +117,38 @@ def battery(value: Column) -> Column:
         codes = F.transform(F.split(text, ""), lambda c: F.least(F.instr(letters, c) - 1, F.lit(63)).cast("double"))
         return _bound(F.struct(codes.alias("x"), size.alias("k")), tests)
 
+    # what a loop over the characters uses is bound before it, so that no loop runs within another
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, c: a + c)
+    beside = lambda x, f: F.zip_with(F.slice(x, F.lit(1), F.size(x) - 1), F.slice(x, F.lit(2), F.size(x) - 1), f)
+
     def tests(p: Column) -> Column:
         x, k = p["x"], p["k"]
         n = F.size(x).cast("double")
+        high = F.transform(x, lambda c: F.when(c >= k / 2, 1.0).otherwise(0.0))
         counts = F.transform(F.array_distinct(x), lambda c: F.size(F.filter(x, lambda y: y == c)).cast("double"))
-        squares = F.aggregate(counts, F.lit(0.0), lambda a, c: a + c * c)
+        sums = F.struct(k.alias("k"), n.alias("n"), high.alias("high"), counts.alias("counts"), (total(x) / n).alias("mean"), x.alias("x"))
+        return _bound(sums, lambda q: _bound(F.struct(q["k"].alias("k"), q["n"].alias("n"), q["high"].alias("high"), q["counts"].alias("counts"), centred(q["x"], q["mean"]).alias("d")), p_value))
+
+    def centred(x: Column, mean: Column) -> Column:
+        return F.transform(x, lambda c: c - mean)
+
+    def p_value(q: Column) -> Column:
+        k, n, high, d = q["k"], q["n"], q["high"], q["d"]
+        squares = total(F.transform(q["counts"], lambda c: c * c))
         # the statistic's exact mean and variance under uniformity; its cube root is close to normal
         chi, df = k / n * squares - n, k - 1
         chi_z = (F.pow(F.greatest(chi, F.lit(0.0)) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
-        high = F.transform(x, lambda c: F.when(c >= k / 2, 1.0).otherwise(0.0))
-        ones = F.aggregate(high, F.lit(0.0), lambda a, c: a + c)
-        changes = F.aggregate(F.zip_with(F.slice(high, F.lit(1), F.size(high) - 1), F.slice(high, F.lit(2), F.size(high) - 1), lambda a, b: F.abs(a - b)), F.lit(0.0), lambda a, c: a + c)
+        ones, changes = total(high), total(beside(high, lambda a, b: F.abs(a - b)))
         expected = 2 * ones * (n - ones) / n + 1
         spread = F.sqrt(F.greatest((expected - 1) * (expected - 2) / (n - 1), F.lit(1e-9)))
         runs_z = F.when((ones == 0) | (ones == n), F.sqrt(n)).otherwise(F.abs(changes + 1 - expected) / spread)
-        mean = F.aggregate(x, F.lit(0.0), lambda a, c: a + c) / n
-        variance = F.aggregate(x, F.lit(0.0), lambda a, c: a + (c - mean) * (c - mean))
-        lagged = F.aggregate(F.zip_with(F.slice(x, F.lit(1), F.size(x) - 1), F.slice(x, F.lit(2), F.size(x) - 1), lambda a, b: (a - mean) * (b - mean)), F.lit(0.0), lambda a, c: a + c)
+        variance, lagged = total(F.transform(d, lambda c: c * c)), total(beside(d, lambda a, b: a * b))
         serial_z = F.when(variance <= 0, F.sqrt(n)).otherwise(F.abs(lagged / variance + 1 / n) * F.sqrt(n))
-        chi_p = F.when(chi_z >= 0, _tail(F.abs(chi_z))).otherwise(1 - _tail(F.abs(chi_z)))
-        return F.least(F.lit(1.0), 3 * F.least(chi_p, 2 * _tail(runs_z), 2 * _tail(serial_z)))
+        return _bound(F.struct(chi_z.alias("chi"), runs_z.alias("runs"), serial_z.alias("serial")), least)
+
+    def least(z: Column) -> Column:
+        chi_p = F.when(z["chi"] >= 0, _tail(F.abs(z["chi"]))).otherwise(1 - _tail(F.abs(z["chi"])))
+        return F.least(F.lit(1.0), 3 * F.least(chi_p, 2 * _tail(z["runs"]), 2 * _tail(z["serial"])))
 
     return F.when(mixed, _bound(alphabet, coded))
 

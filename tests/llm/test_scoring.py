@@ -95,7 +95,7 @@ def test_lexicon_takes_terms_of_any_kind(spark):
     rng = random.Random(3)
     terms = [f"grob{a}{b}lin" for a in "abcdefghijklmnopqrstuvwxyz" for b in "aeioumnprst"] + ["qwz2", "zorv blim"]
     rows = []
-    for i, t in enumerate(terms * 8):
+    for i, t in enumerate(terms * 16):
         rows += [(1, f"{words(rng, 12)} {t} {words(rng, 3)}"), (0, words(rng, 15) + (" zorv" if i % 2 else " blim"))]
     found = toxicity.fit_lexicon(spark.createDataFrame(rows, "label int, text string"))
     assert set(terms) <= set(found) and len(terms) > 280 and not {"zorv", "blim"} & set(found)
