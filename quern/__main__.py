@@ -8,7 +8,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from quern.engine.errors import EngineError
-from quern.engine.session import Engine
+from quern.engine.session import Engine, Policy
 
 
 def main(args: list[str] | None = None) -> int:
@@ -17,10 +17,11 @@ def main(args: list[str] | None = None) -> int:
     what = parser.add_mutually_exclusive_group(required=True)
     what.add_argument("--sql", help="a statement")
     what.add_argument("--batch-file", help="a file with a statement on each line; # starts a comment line")
+    parser.add_argument("--no-limits", action="store_true", help="no limit of rows and seconds; without it they are those of Policy.interactive")
     given = parser.parse_args(args)
     spark = SparkSession.builder.appName("quern").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     lines = [given.sql] if given.sql else [x.strip() for x in open(given.batch_file, encoding="utf-8")]
-    with Engine(spark, given.data).connect() as session:
+    with Engine(spark, given.data, Policy() if given.no_limits else Policy.interactive()).connect() as session:
         for sql in lines:
             if not sql or sql.startswith("#"):
                 continue

@@ -50,7 +50,7 @@ def test_plans_push_down_and_prune(spark):
 @pytest.mark.parametrize("kind", ["inner", "left", "right", "full", "hash", "merge", "broadcast"])
 def test_joins_of_whole_tables(kind, spark):
     customers, orders = spark.read.parquet(f"{SF}/customer.parquet"), spark.read.parquet(f"{SF}/orders.parquet")
-    got = queries()[f"join_{kind}_whole"](spark, SF)
+    got = queries()[f"join_{kind}"](spark, SF)
     assert got.where("o_orderkey IS NOT NULL").count() == orders.count()
     assert got.select("c_custkey").distinct().count() == customers.count()
 
@@ -64,6 +64,6 @@ def test_outer_joins_have_unmatched_rows(kind, spark):
 
 def test_set_operations_of_whole_tables(spark):
     n = lambda t: spark.read.parquet(f"{SF}/{t}.parquet").count()
-    assert queries()["union_all_whole"](spark, SF).count() == n("supplier") + n("customer")
-    assert queries()["sort_nulls_whole"](spark, SF).count() == n("nation")
-    assert queries()["setop_chain_whole"](spark, SF).count() == n("nation")  # whose keys hold the others'
+    assert queries()["union_all"](spark, SF).count() == n("supplier") + n("customer")
+    assert queries()["sort_nulls"](spark, SF).count() == n("nation")
+    assert queries()["setop_chain"](spark, SF).count() == n("nation")  # whose keys hold the others'
