@@ -210,7 +210,7 @@ def ngram_links(documents: DataFrame, n: int = 5, percent: int = 80) -> tuple[Da
     payloads = written(payloads, "payloads")
     pairs = written(pivot_pairs(buckets), "pairs")
     release(buckets, nodes)
-    return sets, copies.union(links_in_regions(pairs, payloads, Parity(percent)))
+    return sets, copies.union(links_in_regions(pairs, payloads.drop("payload"), Parity(percent), lambda _ids: payloads.select("node", "payload")))
 
 
 def ngram_components(documents: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:

@@ -23,7 +23,7 @@ its pairs: a region gives fewer links than it has members.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -40,6 +40,9 @@ AREA, BYTES = 1 << 24, 1 << 26
 #: New pivots of a larger region, and how often regions are divided by pivots before they become grids.
 PIVOTS, DEPTH = 16, 4
 
+#: Payloads (node, payload) of some nodes.
+Payloads = Callable[[DataFrame], DataFrame]
+
 
 class Metric:
     """Distances between sketches (bytes), the largest that two items which link can have, and the link
@@ -123,6 +126,17 @@ def shared(buckets: DataFrame, least: Column) -> DataFrame:
     return rows.where("_beside").withColumn("key", F.when(F.col("_run") == 1, F.col("key")).otherwise(F.xxhash64("key", "_run"))).drop("_least", "_run", "_beside", "size")
 
 
+def split_by_size(buckets: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b) pairs of the buckets with ``most`` rows at most, each once and with an own row in it; and the
+    rows of the larger buckets. ``buckets`` has (key, node, own)."""
+    sizes = buckets.groupBy("key").agg(F.count("*").alias("_n"))
+    sized = written(buckets.join(sizes, "key"), "sized")
+    few = sized.where(F.col("_n") <= most).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("node", "own"))).alias("m"))
+    pairs = F.flatten(F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, F.size("m")), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b"), (x["own"] | y["own"]).alias("own")))))
+    direct = few.select(F.explode(pairs).alias("p")).select("p.*").where("own and a != b").select("a", "b").distinct()
+    return direct, sized.where(F.col("_n") > most).drop("_n")
+
+
 def pivot_pairs(buckets: DataFrame, seed: str | None = None) -> DataFrame:
     """(pivot, node) of all buckets (key, node), each once. ``seed`` names a boolean column; only rows that
     have it may be pivots, and a bucket without them has no pairs.
@@ -135,16 +149,22 @@ def pivot_pairs(buckets: DataFrame, seed: str | None = None) -> DataFrame:
     return buckets.select("key", "node").join(lead, "key").where(F.col("pivot") != F.col("node")).select("pivot", "node").distinct()
 
 
-def links_in_regions(pairs: DataFrame, items: DataFrame, metric: Metric) -> DataFrame:
+def links_in_regions(pairs: DataFrame, items: DataFrame, metric: Metric, payloads: Payloads, direct: DataFrame | None = None) -> DataFrame:
     """(a, b) links that connect what all links connect.
 
-    ``pairs`` has (pivot, node), ``items`` (node, size, weight, sketch, payload) of each of them; weight is
-    about the bytes of sketch and payload.
+    ``pairs`` has (pivot, node), ``items`` (node, size, weight, sketch) of each of them; weight is about the
+    bytes of sketch and payload. ``payloads`` gives (node, payload) of the nodes asked for, and may give more.
+    ``direct`` has pairs (a, b) of buckets that need no region; all of them are looked at.
     """
     kind = items.schema["node"].dataType.simpleString()
     star = written(_star(pairs, items, metric, kind), "star")
-    nearest = star.where("may").groupBy("node").agg(F.min(F.struct("d", "pivot")).alias("m")).select(F.col("m.pivot").alias("a"), F.col("node").alias("b"))
-    links = [written(_verified(nearest, items, metric, kind), "links")]
+    near = star.where("may").groupBy("node").agg(F.min(F.struct("d", "pivot")).alias("m")).select(F.col("m.pivot").alias("a"), F.col("node").alias("b"))
+    if direct is not None:
+        both = _star(direct.select(F.col("a").alias("pivot"), F.col("b").alias("node")), items, metric, kind)
+        near = near.union(both.where("may").select(F.col("pivot").alias("a"), F.col("node").alias("b")))
+    near = written(near, "near")
+    ids = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
+    links = [written(_verified(near, payloads(ids), metric, kind), "links")]
     # a few rounds: nodes with the same label are connected, and that is all that labels are for here
     labels = components(links[0], rounds=2)
     lead = labels.select(F.col("node").alias("pivot"), F.col("component").alias("lead"))
@@ -155,8 +175,9 @@ def links_in_regions(pairs: DataFrame, items: DataFrame, metric: Metric) -> Data
     held = star
     while fresh is not None:
         ready = written(_pruned(fresh, labels), "regions")
-        release(held)
-        links.append(written(_joined(ready.where("small"), items, labels, metric, kind), "links"))
+        release(held, near)
+        small = ready.where("small")
+        links.append(written(_joined(small, items, payloads(small.select("node").distinct()), labels, metric, kind), "links"))
         large = ready.where("not small")
         fresh = held = None if large.isEmpty() else written(_divided(large, items, metric, kind), "cells")
         release(ready)
@@ -187,7 +208,7 @@ def _star(pairs: DataFrame, items: DataFrame, metric: Metric, kind: str) -> Data
     return both.mapInArrow(run, f"pivot {kind}, node {kind}, d int, may boolean, reach int, lead_weight int, weight int")
 
 
-def _verified(pairs: DataFrame, items: DataFrame, metric: Metric, kind: str) -> DataFrame:
+def _verified(pairs: DataFrame, payloads: DataFrame, metric: Metric, kind: str) -> DataFrame:
     """The pairs (a, b) that link, by their payloads."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +216,7 @@ def _verified(pairs: DataFrame, items: DataFrame, metric: Metric, kind: str) ->
             linked = [metric.linked(x.as_py(), y.as_py()) for x, y in zip(b.column(2), b.column(3), strict=True)]
             yield b.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    a, b = (items.select(F.col("node").alias(x), F.col("payload").alias(y)) for x, y in (("a", "px"), ("b", "py")))
+    a, b = (payloads.select(F.col("node").alias(x), F.col("payload").alias(y)) for x, y in (("a", "px"), ("b", "py")))
     return pairs.join(b, "b").join(a, "a").select("a", "b", "px", "py").mapInArrow(run, f"a {kind}, b {kind}")
 
 
@@ -254,14 +275,14 @@ def _divided(regions: DataFrame, items: DataFrame, metric: Metric, kind: str) ->
     return split.union(grid)
 
 
-def _joined(regions: DataFrame, items: DataFrame, labels: DataFrame, metric: Metric, kind: str) -> DataFrame:
+def _joined(regions: DataFrame, items: DataFrame, payloads: DataFrame, labels: DataFrame, metric: Metric, kind: str) -> DataFrame:
     """(a, b): links that connect what all links within each region connect, given the labels."""
 
     def join(region: pd.DataFrame) -> pd.DataFrame:
         found = region_links(region.sort_values(["size", "node"], ignore_index=True), metric)
         return pd.DataFrame({"a": [a for a, _ in found], "b": [b for _, b in found]}, dtype=object)
 
-    rows = _labelled(regions.select("region", "node", "open"), labels).join(items.drop("weight"), "node")
+    rows = _labelled(regions.select("region", "node", "open"), labels).join(items.drop("weight"), "node").join(payloads, "node")
     return rows.groupBy("region").applyInPandas(join, f"a {kind}, b {kind}")
 
 

@@ -180,7 +180,7 @@ def test_regions_recurse_exactly(spark, monkeypatch, area, depth, fails):
     metric.bound -= fails
     pairs = regions.pivot_pairs(regions.shared(items.select(F.lit(1).alias("key"), "node", "size"), F.col("size")))
     assert pairs.count() == 79
-    links = regions.links_in_regions(pairs, items, metric)
+    links = regions.links_in_regions(pairs, items.drop("payload"), metric, lambda ids: items.select("node", "payload").join(ids, "node", "left_semi"))
     assert links.count() < 3 * 80
     got = {r.node: r.component for r in components(links).collect()}
     want = brute.groups(range(80), lambda a, b: abs(points[a] - points[b]) <= 12 - fails)
