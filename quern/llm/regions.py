@@ -27,7 +27,6 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -276,21 +275,40 @@ def _divided(regions: DataFrame, items: DataFrame, metric: Metric, kind: str) ->
 
 
 def _joined(regions: DataFrame, items: DataFrame, payloads: DataFrame, labels: DataFrame, metric: Metric, kind: str) -> DataFrame:
-    """(a, b): links that connect what all links within each region connect, given the labels."""
+    """(a, b): links that connect what all links within each region connect, given the labels.
 
-    def join(region: pd.DataFrame) -> pd.DataFrame:
-        found = region_links(region.sort_values(["size", "node"], ignore_index=True), metric)
-        return pd.DataFrame({"a": [a for a, _ in found], "b": [b for _, b in found]}, dtype=object)
-
-    rows = _labelled(regions.select("region", "node", "open"), labels).join(items.drop("weight"), "node").join(payloads, "node")
-    return rows.groupBy("region").applyInPandas(join, f"a {kind}, b {kind}")
+    Regions come one after the other, sorted; a task holds one at a time, whose size ``small`` has bounded.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
+        for b in batches:
+            found: list[tuple] = []
+            for region, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if region != now:
+                    found += region_links(rows, metric)
+                    now, rows = region, []
+                rows.append(row)
+            yield pa.record_batch([pa.array([x for x, _ in found], b.schema.field("node").type), pa.array([y for _, y in found], b.schema.field("node").type)], names=["a", "b"])
+        if rows:
+            last, of = region_links(rows, metric), pa.int64() if kind == "bigint" else pa.binary()
+            yield pa.record_batch([pa.array([x for x, _ in last], of), pa.array([y for _, y in last], of)], names=["a", "b"])
 
-def region_links(region: pd.DataFrame, metric: Metric) -> list[tuple]:
-    """Links of one region, whose rows (node, open, label, size, sketch, payload) come by size."""
-    node, payload, is_open = region["node"].tolist(), region["payload"].tolist(), region["open"].to_numpy(bool)
-    label, size = pd.factorize(region["label"])[0], region["size"].to_numpy(np.int64)
-    matrix = metric.matrix(region["sketch"].tolist())
+    rows = _labelled(regions.select("region", "node", "open"), labels).join(items.drop("weight"), "node").join(payloads, "node")
+    rows = rows.select("region", "size", "node", "open", "label", "sketch", "payload").repartition("region").sortWithinPartitions("region", "size", "node")
+    return rows.mapInArrow(run, f"a {kind}, b {kind}")
+
+
+def region_links(rows: list[list], metric: Metric) -> list[tuple]:
+    """Links of one region, whose rows (size, node, open, label, sketch, payload) come by size."""
+    if len(rows) < 2:
+        return []
+    size, node, is_open, names, sketches, payload = zip(*rows, strict=True)
+    size, is_open, codes = np.array(size, np.int64), np.array(is_open, bool), {}
+    label = np.array([codes.setdefault(x, len(codes)) for x in names])
+    if len(codes) < 2:
+        return []
+    matrix = metric.matrix(list(sketches))
     left, right, dist = [], [], []
     for i in np.flatnonzero(is_open).tolist():
         low, high = metric.partners(int(size[i]))
