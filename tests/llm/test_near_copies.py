@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quern.llm import line_dedup, ngram_join, regions
+from quern.llm import line_dedup, meeting, ngram_join, regions
 from quern.llm.common import written as module_written
 from quern.llm.components import components
 
@@ -218,3 +218,76 @@ def test_buckets_are_cut_where_sizes_allow_no_link(spark):
     for r in kept.collect():
         groups.setdefault(r.key, set()).add(r.node)
     assert sorted(map(sorted, groups.values())) == [[1, 2, 3], [5, 6]]
+
+
+@pytest.mark.parametrize("most", [1 << 21, 40])
+def test_packed_keys_meet_as_rows_do(spark, monkeypatch, most):
+    import numpy as np
+
+    monkeypatch.setattr(meeting, "TOGETHER", 100)
+    monkeypatch.setattr(meeting, "GROUPS", 8)
+    monkeypatch.setattr(meeting, "MOST", most)  # above it, groups pass as rows
+    rng = random.Random(11)
+    rows = {(rng.randrange(90), rng.randrange(1 << 30) << 16 | size << 4 | rng.randrange(2)) for size in (20, 21, 22, 60, 61, 4000) for _ in range(60)}
+    rows |= {(k, n ^ 1) for k, n in sorted(rows)[:40]}  # once as an index entry, once not
+    rows = sorted(rows) + sorted(rows)[:60]  # and repeated by other tasks
+    size, least = (lambda x: x >> 4 & 4095), (lambda x: x - 1)
+    batches = [meeting.packed(np.array([k * 0x9E3779B97F4A7C15 % (1 << 64) for k, _ in part], np.uint64), np.array([n for _, n in part], np.int64), 8) for part in (rows[:150], rows[150:])]
+    packs = spark.createDataFrame([(p, bytearray(r)) for b in batches for p, r in zip(*(c.to_pylist() for c in b.columns), strict=True)], "part int, rows binary")
+    from quern.llm.line_dedup import F
+
+    met = module_written(meeting.meetings(packs, size, least, 3), "met")
+    pairs, large = meeting.pairs_and_buckets(met, lambda x: F.shiftright(x, 4).bitwiseAND(F.lit(4095)), least, 3)
+    want_pairs, want_large = set(), []
+    for key in {k for k, _ in rows}:
+        own = {}
+        for k, n in rows:
+            if k == key:
+                own[n & ~1] = own.get(n & ~1, 0) | n & 1
+        runs = []
+        for n in sorted(own, key=lambda n: (size(n), n)):
+            if not runs or size(n) - size(runs[-1][-1]) > 1:
+                runs.append([])
+            runs[-1].append(n)
+        for run in runs:
+            if len(run) > 3:
+                want_large.append(sorted(run))
+            elif most > 40:
+                want_pairs |= {(min(a, b), max(a, b)) for i, a in enumerate(run) for b in run[:i] if (own[a] or own[b]) and abs(size(a) - size(b)) <= 1}
+            else:
+                want_pairs |= {(min(a, b), max(a, b)) for i, a in enumerate(run) for b in run[:i] if own[a] or own[b]}
+    got_pairs, buckets = {tuple(r) for r in pairs.collect()}, {}
+    for r in large.collect():
+        buckets.setdefault(r.key, set()).add(r.node)
+    if most > 40:
+        assert got_pairs == want_pairs and sorted(map(sorted, buckets.values())) == sorted(want_large)
+    else:  # repeated rows count there, so a few small buckets go with the large ones
+        found = got_pairs | {(a, b) for x in buckets.values() for a in x for b in x}
+        assert want_pairs <= found and set(map(tuple, want_large)) <= {tuple(sorted(x)) for x in buckets.values()}
+    assert len(want_large) > 5 and len(want_pairs) > 20
+
+
+def test_keys_of_lines_take_little_to_move(spark):
+    rng = random.Random(12)
+    texts = ["\n".join("".join(rng.choice("abcdefghijklmnop ") for _ in range(rng.randint(100, 900))) for _ in range(40)) for _ in range(12)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    sc = spark.sparkContext
+    stages = lambda: sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    moved = lambda: {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in (x.apply(i) for x in [stages()] for i in range(x.size()))}
+    before = set(moved())
+    assert line_dedup.line_links(docs).count() == 0
+    assert sum(n for k, n in moved().items() if k not in before) < 2 * sum(map(len, texts))
+
+
+def test_pieces_refuse_far_lines_only():
+    rng, refused = random.Random(13), 0
+    for _ in range(300):
+        a = "".join(rng.choice("abcdefgh ") for _ in range(rng.randint(60, 200)))
+        b, k = a, rng.randint(2, 9)
+        for _ in range(rng.choice([k, 3 * k])):
+            at = rng.randrange(len(b))
+            b = b[:at] + rng.choice(["", "x", b[at] + "y"]) + b[at + 1 :]
+        if line_dedup._differ(a, b, k):
+            assert brute.edit_distance(a, b) > k
+            refused += 1
+    assert refused > 100
