@@ -26,6 +26,8 @@ from .common import SPACE, written
 K, W, UNIT = 3, 8, 16
 #: Ideographs, kana and hangul, as a set of a pattern.
 ALONE = r"\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uAC00-\uD7AF\uF900-\uFAFF"
+#: All other characters but white space, by ranges; the first one holds nearly all characters of most texts.
+OTHER = r"\x21-\u303F\x00-\x08\x0E-\x1F\u3100-\u33FF\u4DC0-\u4DFF\uA000-\uABFF\uD7B0-\uF8FF\uFB00-\x{10FFFF}"
 #: Of the rolling polynomial: a prime below 2^31, so that products stay below 2^63, and a base.
 PRIME, BASE = 2147483629, 1000003
 
@@ -35,7 +37,7 @@ def winnow(text: Column) -> Column:
 
     The packing makes the plain minimum of a window its smallest hash and, of equal ones, the rightmost.
     """
-    units = F.regexp_extract_all(text, F.lit(rf"[^{SPACE}{ALONE}]{{1,{UNIT}}}|[{ALONE}]"), F.lit(0))
+    units = F.regexp_extract_all(text, F.lit(rf"[{OTHER}]{{1,{UNIT}}}+|[{ALONE}]"), F.lit(0))
     hashes = F.transform(units, lambda u: F.pmod(F.xxhash64(u), F.lit(PRIME)))
 
     def grams(h: Column) -> Column:
@@ -43,7 +45,15 @@ def winnow(text: Column) -> Column:
         rolled = h
         for k in range(1, K):
             rolled = F.when(F.size(h) > k, F.zip_with(F.slice(rolled, F.lit(1), F.size(rolled) - 1), F.slice(h, F.lit(k + 1), F.size(h) - k), lambda a, b: (a * BASE + b) % PRIME)).otherwise(rolled)
-        return F.transform(rolled, lambda x, i: x * (1 << 32) + ((1 << 32) - 1) - i)
+        packed = lambda x, i: x * (1 << 32) + ((1 << 32) - 1) - i
+
+        def gram(x: Column, i: Column) -> Column:
+            for k in range(1, K):
+                x = (x * BASE + F.get(h, i + k)) % PRIME
+            return packed(x, i)
+
+        # K units or more take a single pass
+        return F.when(F.size(h) >= K, F.transform(F.slice(h, F.lit(1), F.size(h) - (K - 1)), gram)).otherwise(F.transform(rolled, packed))
 
     def minima(g: Column) -> Column:
         # window minima by doubling: after each pass an entry covers twice as many hashes

@@ -359,3 +359,13 @@ def test_chat_keeps_conversations_of_many_turns(spark):
     got = chat.collapse_and_render(log).select("conv_id", "n_turns", "copies", F.length("rendered").alias("size")).collect()
     size = sum(len(chat.TEMPLATE.format(role="user", text=f"t{i}")) for i in range(n))
     assert [tuple(r) for r in got] == [(1, n, 2, size)]
+
+
+def test_units_are_of_all_characters_but_white_space():
+    import re
+
+    from quern.llm import fingerprint
+
+    other = re.compile("[" + fingerprint.OTHER.replace(r"\x{10FFFF}", r"\U0010FFFF") + "]")
+    rest = re.compile(f"[^{fingerprint.SPACE}{fingerprint.ALONE}]")
+    assert all(bool(other.match(chr(c))) == bool(rest.match(chr(c))) for c in range(0x110000))
