@@ -55,17 +55,16 @@ def winnow(text: Column) -> Column:
         # K units or more take a single pass
         return F.when(F.size(h) >= K, F.transform(F.slice(h, F.lit(1), F.size(h) - (K - 1)), gram)).otherwise(F.transform(rolled, packed))
 
-    def minima(g: Column) -> Column:
-        # window minima by doubling: after each pass an entry covers twice as many hashes
-        out, width = g, 1
-        while width < W:
-            step = min(width, W - width)
-            out = F.when(F.size(out) > step, F.zip_with(F.slice(out, F.lit(1), F.size(out) - step), F.slice(out, F.lit(step + 1), F.size(out) - step), lambda a, b: F.least(a, b))).otherwise(F.when(F.size(out) > 0, F.array(F.array_min(out))).otherwise(out))
-            width += step
-        return out
-
     # each step is bound to a name by a one-element array, so that it is computed once
     bound = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)
+
+    def minima(out: Column, width: int = 1) -> Column:
+        # window minima by doubling: after each pass an entry covers twice as many hashes. A pass reads the one
+        # before several times, so that one is bound as well
+        step = min(width, W - width)
+        wider = F.when(F.size(out) > step, F.zip_with(F.slice(out, F.lit(1), F.size(out) - step), F.slice(out, F.lit(step + 1), F.size(out) - step), lambda a, b: F.least(a, b))).otherwise(F.when(F.size(out) > 0, F.array(F.array_min(out))).otherwise(out))
+        return wider if width + step == W else bound(wider, lambda x: minima(x, width + step))
+
     return bound(hashes, lambda h: bound(grams(h), lambda g: F.array_distinct(minima(g))))
 
 

@@ -65,6 +65,11 @@ def test_fingerprints(spark, corpus, documents):
     assert got[82].fingerprint == "" and got[80].fingerprint == ""
 
 
+def test_each_winnowing_pass_is_computed_once(spark):
+    """A pass that names the one before it several times repeats it, and so on down to the first."""
+    assert str(fingerprint.winnow(F.col("text"))).count("zip_with") <= 8
+
+
 def test_fingerprints_of_odd_cases(odd_documents, no_documents):
     assert fingerprint.compare_with_edits(no_documents).count() == 0
     rows = fingerprint.compare_with_edits(odd_documents.withColumn("a", F.lit(1)).withColumn("next", F.lit(2)).withColumn("bucket", F.lit(3))).collect()
