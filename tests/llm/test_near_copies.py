@@ -187,6 +187,25 @@ def test_regions_recurse_exactly(spark, monkeypatch, area, depth, fails):
     assert {k: got.get(k, k) for k in range(80)} == want
 
 
+def test_only_items_with_a_partner_are_fetched_whole(spark):
+    """One bucket whose members are far apart by sketch, but for two pairs."""
+    from pyspark.sql import functions as F
+
+    asked = []
+    points = [1000 * i for i in range(30)] + [5003, 9002]
+    rows = [(i, 1, 20, bytearray(int(x).to_bytes(8, "little")), str(x)) for i, x in enumerate(points)]
+    items = spark.createDataFrame(rows, "node long, size int, weight int, sketch binary, payload string")
+
+    def payloads(ids):
+        asked.append({r.node for r in ids.collect()})
+        return items.select("node", "payload").join(ids, "node", "left_semi")
+
+    pairs = regions.pivot_pairs(items.select(F.lit(1).alias("key"), "node"))
+    links = regions.links_in_regions(pairs, items.drop("payload"), points_on_a_line(), payloads)
+    assert {frozenset(r) for r in links.collect()} == {frozenset((5, 30)), frozenset((9, 31))}
+    assert asked[-1] <= {5, 9, 30, 31}
+
+
 def test_sketches_never_exceed_the_difference():
     import numpy as np
 
@@ -291,3 +310,10 @@ def test_pieces_refuse_far_lines_only():
             assert brute.edit_distance(a, b) > k
             refused += 1
     assert refused > 100
+
+
+def test_pieces_that_few_edits_cannot_have_moved_are_refused():
+    kept = "".join(random.Random(3).choices("abcdefgh ", k=100))
+    a, b = f"{kept}uvwxyz", f"UVWXYZ{kept}"
+    assert brute.edit_distance(a, b) == 12
+    assert line_dedup._differ(a, b, 8) and not line_dedup._differ(a, b, 12)
