@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IdFilter, Memo, mix, release, written
+from .common import IdFilter, Memo, lean, mix, release, written
 from .components import components
 from .regions import Parity, links_in_regions, pivot_pairs, shared
 
@@ -136,7 +136,7 @@ def _sets(documents: DataFrame, n: int) -> DataFrame:
         slots = np.flatnonzero(counts >= max(3, COMMON * len(seen)))
         yield pa.record_batch([pa.nulls(len(slots), pa.int64()), pa.array(np.full(len(slots), -1)), pa.array(slots), pa.array(counts[slots].astype(np.int64))], names=names)
 
-    return documents.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long")
+    return documents.mapInArrow(lean(run), "doc_id long, n_shingles long, h1 long, h2 long")
 
 
 def _buckets(documents: DataFrame, n: int, percent: int, common: np.ndarray) -> DataFrame:
@@ -162,7 +162,7 @@ def _buckets(documents: DataFrame, n: int, percent: int, common: np.ndarray) ->
             if found:
                 yield _rows(found, nodes)
 
-    return documents.mapInArrow(run, "key long, node long, size int")
+    return documents.mapInArrow(lean(run), "key long, node long, size int")
 
 
 def _rows(found: list[np.ndarray], nodes: list[tuple[int, int, int]]) -> pa.RecordBatch:
@@ -187,7 +187,7 @@ def _payloads(documents: DataFrame, n: int, wanted: IdFilter) -> DataFrame:
                 columns = [pa.array(sizes), pa.array(9 * sizes), pa.array([Parity.sketch(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
                 yield pa.record_batch([part.column(0), *columns], names=["node", "size", "weight", "sketch", "payload"])
 
-    return documents.mapInArrow(run, "node long, size int, weight int, sketch binary, payload binary")
+    return documents.mapInArrow(lean(run), "node long, size int, weight int, sketch binary, payload binary")
 
 
 def ngram_links(documents: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:

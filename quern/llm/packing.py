@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import lean, written
 from .tokens import ByteBpe
 
 END = 1
@@ -41,7 +41,7 @@ def tokenised(documents: DataFrame, tokenizer: str) -> DataFrame:
                 at += int(n.sum())
                 yield pa.record_batch([batch.column(0).slice(lo, 512), pa.array(np.full(len(ids), part, np.int64)), pa.array(starts), pa.array(n), pa.array(ids, pa.binary())], names=["doc_id", "part", "start", "n", "ids"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, part long, start long, n long, ids binary")
+    return documents.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, part long, start long, n long, ids binary")
 
 
 def pack(documents: DataFrame, tokenizer: str, length: int = LENGTH, with_ids: bool = True) -> DataFrame:
@@ -87,4 +87,4 @@ def pack(documents: DataFrame, tokenizer: str, length: int = LENGTH, with_ids: b
             yield pa.record_batch(columns, names=names)
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, cut boolean, sequence_length long, padded_length long" + ", ids binary" * with_ids
-    return tokens.mapInArrow(run, schema)
+    return tokens.mapInArrow(lean(run), schema)

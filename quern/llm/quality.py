@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import Memo, mix, written
+from .common import Memo, lean, mix, written
 
 ROWS, DIMS, ONES = 1 << 14, 48, 4
 THRESHOLD = 0.7
@@ -97,9 +97,9 @@ def context_vectors(documents: DataFrame) -> np.ndarray:
             yield pd.DataFrame({"row": list(total), "vector": [v.tobytes() for v in total.values()]})
 
     schema = "row long, vector binary"
-    parts = documents.select("text").mapInArrow(run, schema)
+    parts = documents.select("text").mapInArrow(lean(run), schema)
     out = np.zeros((ROWS, DIMS), np.float64)
-    for r in parts.repartition("row").mapInPandas(add, schema).toLocalIterator():  # ROWS rows at most
+    for r in parts.repartition("row").mapInPandas(lean(add), schema).toLocalIterator():  # ROWS rows at most
         out[r["row"]] = np.frombuffer(r["vector"])
     return (out / np.maximum(np.sqrt((out * out).sum(axis=1, keepdims=True)), 1e-9)).astype(np.float32)
 
@@ -141,9 +141,10 @@ class Pooling:
         out[-4] = np.sqrt((share * share).sum())
         if len(w) > 1:
             out[-3] = (w[1:] == w[:-1]).mean()
-            pairs = w[1:] * ROWS + w[:-1]
-            out[-2] = len(np.unique(pairs)) / len(pairs)
-            out[-1] = (self.context[w[1:]] * self.context[w[:-1]]).sum(axis=1).mean()
+            pairs = np.sort(w[1:] * ROWS + w[:-1])
+            out[-2] = (1 + np.count_nonzero(pairs[1:] != pairs[:-1])) / len(pairs)
+            vectors = self.context[w]
+            out[-1] = np.vdot(vectors[1:], vectors[:-1]) / len(pairs)
         return out
 
 
@@ -222,7 +223,7 @@ def with_scores(documents: DataFrame, labels: DataFrame, folds: int = 4, fold: i
         for b in batches:
             yield pa.record_batch([b.column(0), pa.array([pooling(t.as_py()).tobytes() for t in b.column(1)], pa.binary())], names=["label", "x"])
 
-    pooled = training.select("label", "text").mapInArrow(pool, "label int, x binary").collect()  # most_rows rows at most
+    pooled = training.select("label", "text").mapInArrow(lean(pool), "label int, x binary").collect()  # most_rows rows at most
     x = np.stack([np.frombuffer(r["x"], np.float32) for r in pooled]) if pooled else np.zeros((0, 3 * DIMS + 6), np.float32)
     order = np.lexsort(x.T) if len(x) else np.arange(0)  # rows come in any order; training shouldn't depend on it
     network = spark.sparkContext.broadcast(Network(x[order], np.array([r["label"] for r in pooled], np.int64)[order]))
@@ -236,7 +237,7 @@ def with_scores(documents: DataFrame, labels: DataFrame, folds: int = 4, fold: i
             x = np.stack([pooling(t.as_py()) for t in b.column(at)]) if b.num_rows else np.zeros((0, pooling.size), np.float32)
             yield pa.record_batch([*b.columns, pa.array(network.value(x).astype(np.float64))], names=[*names, "score"])
 
-    return documents.mapInArrow(score, StructType([*documents.schema.fields, StructField("score", DoubleType())]))
+    return documents.mapInArrow(lean(score), StructType([*documents.schema.fields, StructField("score", DoubleType())]))
 
 
 def score_quality(documents: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2, most_rows: int = MOST_ROWS) -> DataFrame:
