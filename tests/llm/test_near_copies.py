@@ -317,3 +317,52 @@ def test_pieces_that_few_edits_cannot_have_moved_are_refused():
     a, b = f"{kept}uvwxyz", f"UVWXYZ{kept}"
     assert brute.edit_distance(a, b) == 12
     assert line_dedup._differ(a, b, 8) and not line_dedup._differ(a, b, 12)
+
+
+def test_only_lines_that_meet_are_fetched(spark):
+    from quern.llm.common import IdFilter
+
+    rng = random.Random(11)
+    lines = ["".join(rng.choice("abcdefgh ") for _ in range(120)) for _ in range(4000)]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    heads = [(line_dedup._head(line_dedup._digest(x), 1, len(x)),) for x in lines[:100]]
+    wanted = IdFilter(spark.createDataFrame(heads, "head long").selectExpr(line_dedup.SPREAD))
+    rows = line_dedup._items(docs, wanted).collect()
+    assert {r.payload.decode() for r in rows} >= set(lines[:100]) and len(rows) < 600  # lengths alone pass all
+
+
+def test_pairs_compared_together_equal_pairs_alone():
+    rng = random.Random(12)
+    pairs = []
+    for _ in range(1500):
+        a = "".join(rng.choice("abcd \u4e2d\U0001f600") for _ in range(rng.choice([5, 20, 41, 95, 96, 130, 330, 900, 1300])))
+        b = a
+        for _ in range(rng.randint(0, 50 if len(a) > 300 else 7)):
+            at = rng.randrange(len(b) + 1)
+            b = b[:at] + rng.choice(["", "x", "yz"]) + b[at + rng.randint(0, 1) :]
+        pairs.append((a, b))
+    bound = [line_dedup.allowed(min(len(a), len(b))) for a, b in pairs]
+    want = [line_dedup.edit_distance(a, b, k) <= k for (a, b), k in zip(pairs, bound, strict=True)]
+    assert line_dedup.links_each(*map(list, zip(*pairs, strict=True))) == want and 300 < sum(want) < 1200
+
+
+def test_regions_looked_at_together_equal_regions_alone(monkeypatch):
+    monkeypatch.setattr(regions, "PAIRS", 64)
+    rng = random.Random(13)
+    edits, number, rows, want = line_dedup.Edits(), [], [], set()
+    for r in range(40):
+        texts = ["".join(rng.choice("ab") for _ in range(rng.randint(90, 130))) for _ in range(rng.randint(1, 30))]
+        alone = sorted([len(x), bytes([r, i]), rng.random() < 0.5, bytes([rng.randrange(9)]), s] for i, (x, s) in enumerate(zip(texts, line_dedup._sketches(texts), strict=True)))
+        left, right, dist = regions.candidates(alone, edits)
+        brute_pairs = set()
+        for i, x in enumerate(alone):
+            for j, y in enumerate(alone[:i]):
+                d = int(edits.apart([x[4]], [y[4]])[0])
+                near = x[0] <= edits.partners(y[0])[1] if y[2] else y[0] >= edits.partners(x[0])[0]
+                if (x[2] or y[2]) and x[3] != y[3] and d <= edits.most(x[0], y[0]) and near:
+                    brute_pairs.add((j, i, d))
+        assert {(min(a, b), max(a, b), c) for a, b, c in zip(left.tolist(), right.tolist(), dist.tolist(), strict=True)} == brute_pairs
+        want |= {(a + len(rows), b + len(rows), c) for a, b, c in zip(left.tolist(), right.tolist(), dist.tolist(), strict=True)}
+        rows += alone
+        number += [r] * len(alone)
+    assert set(zip(*(x.tolist() for x in regions.candidates(rows, edits, number)), strict=True)) == want and len(want) > 100
