@@ -366,3 +366,33 @@ def test_regions_looked_at_together_equal_regions_alone(monkeypatch):
         rows += alone
         number += [r] * len(alone)
     assert set(zip(*(x.tolist() for x in regions.candidates(rows, edits, number)), strict=True)) == want and len(want) > 100
+
+
+@pytest.mark.parametrize("letters", [2, 40, 300, 70_000])
+def test_waves_of_pairs_equal_the_distance_alone(letters):
+    rng = random.Random(letters)
+    chars = [chr(0x10000 + i) for i in range(letters)]
+    pairs = []
+    for length in [20, 40, 96, 300, 320, 700, 1500, 4000] * 12:
+        a = [rng.choice(chars) for _ in range(length)]
+        b = list(a)
+        for _ in range(rng.randint(0, 3 * line_dedup.allowed(length) // 2)):
+            at = rng.randrange(len(b))
+            b[at : at + rng.randint(0, 1)] = rng.choice([[], [rng.choice(chars)]])
+        pairs.append(("".join(a), "".join(b)))
+    want = [line_dedup.edit_distance(a, b, k) <= k for a, b in pairs for k in [line_dedup.allowed(min(len(a), len(b)))]]
+    assert line_dedup.links_each(*map(list, zip(*pairs, strict=True))) == want and 20 < sum(want) < len(want)
+
+
+def test_joins_of_regions_are_dealt_to_many_tasks(spark):
+    """Their bytes are few, so that Spark would put them into a few tasks, but their pairs are many."""
+    words = lambda seed: "".join(random.Random(seed).choices("abcdefgh", k=120))
+    lines = {f"{r}-{i}": words(r)[: 115 + i] for r in range(40) for i in range(3)}
+    rows = spark.createDataFrame([(x.split("-")[0], x.encode(), True, x.encode()) for x in lines], "region string, node binary, open boolean, label binary")
+    items = spark.createDataFrame([(x.encode(), len(t), 0, line_dedup._sketches([t])[0], t.encode()) for x, t in lines.items()], "node binary, size int, weight int, sketch binary, payload binary")
+    joined = regions._joined(rows, items.drop("payload"), items.select("node", "payload"), line_dedup.Edits(), "binary")
+    assert joined.count() == 80
+    joined.cache()
+    joined.count()
+    assert joined.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    joined.unpersist()
