@@ -102,3 +102,22 @@ def test_nothing_else_imports_the_optional_parts():
         if "llm" not in path.relative_to(ROOT / "quern").parts:
             text = path.read_text()
             assert "quern.llm" not in text and "corpus_pipeline" not in text, path
+
+
+def test_a_broadcast_takes_the_smaller_side_if_it_is_small(spark, monkeypatch):
+    few, many = spark.range(20).selectExpr("id AS k"), spark.range(5000).selectExpr("id % 30 AS k", "id AS v")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+        want = rows(joins.join(few, many, "k"))
+        for a, b, side in ((few, many, "BuildLeft"), (many, few, "BuildRight")):
+            joined = joins.join(a, b, ["k"], strategy="broadcast")
+            assert "BroadcastHashJoin" in plan(joined) and side in plan(joined) and rows(joined.select("k", "v")) == want
+        left = joins.join(many, few, "k", "left", "broadcast")
+        assert "BuildRight" in plan(left) and left.count() == 5000
+        monkeypatch.setattr(joins, "ROWS", 19)  # too many rows now, on both sides
+        joined = joins.join(few, many, "k", strategy="broadcast")
+        assert "Broadcast" not in plan(joined) and rows(joined) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
